@@ -9,6 +9,7 @@ enough. A document is held against every reference; the nearest one counts.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,14 +124,19 @@ def shares(counts: Column) -> Column:
     return let(total, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two arrays of shares, 0 to 1."""
+def _plogp(x: Column) -> Column:
+    return x * F.log2(x + F.lit(1e-300))
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda n, x: n + x) / 2))
+def neg_entropy(p: Column) -> Column:
+    """Sum of p * log2(p)."""
+    return F.aggregate(p, F.lit(0.0), lambda n, x: n + _plogp(x))
+
+
+def js_distance(p: Column, p_entropy: Column, q: Column, q_entropy: Column) -> Column:
+    """The Jensen-Shannon distance of two arrays of shares, 0 to 1, given the `neg_entropy` of each."""
+    mixed = F.aggregate(F.zip_with(p, q, lambda a, b: (a + b) / 2), F.lit(0.0), lambda n, x: n + _plogp(x))
+    return F.sqrt(F.greatest(F.lit(0.0), (p_entropy + q_entropy) / 2 - mixed))
 
 
 def references(measured: DataFrame, common: dict[str, list[str]], *, lang: str = "lang", min_words: int = 30) -> dict[str, tuple[list[float], list[float]]]:
@@ -142,8 +148,8 @@ def references(measured: DataFrame, common: dict[str, list[str]], *, lang: str =
     sizes = {"_chars": len(CLASSES) + 1, "_common": len(vocabulary(common)) + 1}
     plain = 10 * F.col("n_symbols") <= F.col("n_words")
     good = measured.where(F.col(lang).isin(list(common)) & ~base_failed() & plain & (F.col("n_words") >= min_words))
-    sums = [F.avg(F.get(shares(F.col(c)), F.lit(i))).alias(f"{c}_{i}") for c, n in sizes.items() for i in range(n)]
-    rows = good.groupBy(F.col(lang).alias("lang")).agg(*sums).collect()
+    means = [F.avg(F.get(F.col(c), F.lit(i))).alias(f"{c}_{i}") for c, n in sizes.items() for i in range(n)]
+    rows = good.select(F.col(lang).alias("lang"), *[shares(F.col(c)).alias(c) for c in sizes]).groupBy("lang").agg(*means).collect()
     return {r["lang"]: tuple([r[f"{c}_{i}"] for i in range(n)] for c, n in sizes.items()) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
@@ -161,11 +167,14 @@ def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]],
     from; in both cases the base rules alone decide.
     """
     found = measured.withColumn("base_failed", base_failed()).withColumn("_p", shares(F.col("_chars"))).withColumn("_w", shares(F.col("_common")))
-    known = F.array(*[F.struct(F.lit(name).alias("lang"), F.array(*map(F.lit, p)).alias("p"), F.array(*map(F.lit, w)).alias("w")) for name, (p, w) in refs.items()])
+    found = found.withColumn("_hp", neg_entropy(F.col("_p"))).withColumn("_hw", neg_entropy(F.col("_w")))
+    fixed = lambda x: F.array(*map(F.lit, x))
+    entropy = lambda x: F.lit(sum(v * math.log2(v) for v in x if v > 0))
+    known = F.array(*[F.struct(F.lit(name).alias("lang"), fixed(p).alias("p"), entropy(p).alias("hp"), fixed(w).alias("w"), entropy(w).alias("hw")) for name, (p, w) in refs.items()])
 
     def tried(r: Column) -> Column:
-        apart = F.struct(js_distance(F.col("_p"), r["p"]).alias("chars"), js_distance(F.col("_w"), r["w"]).alias("common"))
-        return let(apart, lambda d: F.struct((d["chars"] + weight * d["common"]).alias("js"), d["chars"].alias("chars"), d["common"].alias("common"), r["lang"].alias("lang")))
+        chars, words = (js_distance(F.col(f"_{x}"), F.col(f"_h{x}"), r[x], r[f"h{x}"]) for x in "pw")
+        return let(F.struct(chars.alias("chars"), words.alias("common")), lambda d: F.struct((d["chars"] + weight * d["common"]).alias("js"), d["chars"].alias("chars"), d["common"].alias("common"), r["lang"].alias("lang")))
 
     best = F.array_min(F.transform(known, tried)) if refs else F.expr("cast(null as struct<js double, chars double, common double, lang string>)")
     found = found.withColumn("_best", F.when(F.col("_p").isNotNull() & F.col("_w").isNotNull(), best))
@@ -197,7 +206,7 @@ def quality(docs: DataFrame, *, common: dict[str, list[str]] | None = None, limi
 def keep_good(docs: DataFrame, *, common: dict[str, list[str]] | None = None, limits: dict | None = None) -> DataFrame:
     """The rows of `docs` whose verdict is to keep them; all columns stay. Verdicts go by the row, not by its doc_id."""
     limits, common = limits or LIMITS, common or COMMON_WORDS
-    counts = measure(docs.select("text", "lang"), common=common).select("lang", "n_words", "n_repeat_words", "n_symbols", "_chars", "_common")
-    refs = references(counts, common, min_words=limits["min_words"])
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return judge(measure(row, common=common), refs, **limits).where("kept").select("_row.*")
+    row = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
+    counted = written(measure(row, common=common).drop("text", "_words"), "quality-rows")
+    refs = references(counted, common, min_words=limits["min_words"])
+    return judge(counted, refs, **limits).where("kept").select("_row.*")
