@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import bin_completion, golay_simhash, js_quality, ppm_langid
+from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, toxicity_chain, url_digest
 from punctual.llm.common import ship, table
 
 
@@ -24,15 +24,43 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return url_digest.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bin_completion.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return permutation_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ppm_language_id, op3_js_quality_rules, op4_golay_simhash, op8_bin_completion_packing]
+    found = [
+        op2_ppm_language_id,
+        op3_js_quality_rules,
+        op4_golay_simhash,
+        op6_url_digest_filter,
+        op7_importance_resampling,
+        op8_bin_completion_packing,
+        op9_permutation_index,
+        op10_toxicity_chain,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_digest_filter": url_digest.SQL}
