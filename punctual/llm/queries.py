@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, toxicity_chain, url_digest
+from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, toxicity_chain, url_digest
 from punctual.llm.common import ship, table
 
 
+def op1_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.summarise(table(spark, sf_dir, "documents"), bin_completion.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return ppm_langid.identify(table(spark, sf_dir, "documents"))
@@ -24,6 +28,10 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return url_digest.judge(table(spark, sf_dir, "pages"))
@@ -50,9 +58,11 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op1_sentencepiece_lattice,
         op2_ppm_language_id,
         op3_js_quality_rules,
         op4_golay_simhash,
+        op5_quotation_linking,
         op6_url_digest_filter,
         op7_importance_resampling,
         op8_bin_completion_packing,
@@ -63,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_digest_filter": url_digest.SQL}
+    return {"op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL}
