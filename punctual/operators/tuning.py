@@ -34,7 +34,7 @@ class TemporalCrossValidator:
                 def score(setting, train=train, test=test):
                     return self.evaluator.evaluate(self.estimator.fit(train, setting).transform(test))
 
-                for i, x in enumerate(pool.map(inheritable_thread_target(score), self.grid)):
+                for i, x in enumerate(pool.map(inheritable_thread_target(train.sparkSession)(score), self.grid)):
                     totals[i] += x / len(folds)
         best = (max if self.evaluator.isLargerBetter() else min)(range(len(self.grid)), key=totals.__getitem__)
         parts = [f.where("cv = 'train'") for f in folds.values()]
