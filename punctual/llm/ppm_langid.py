@@ -74,12 +74,12 @@ class ContextTrees:
         many = len(self.langs)
         by = [(self.gram >> s) & 255 for s in (24, 16, 8, 0)]
         seen = np.unique(np.concatenate([x[x > 0] for x in by]))
-        size = len(seen) + 1  # class 0: the place before the text, and bytes never seen
-        classes = np.zeros(256, np.int32)
-        classes[seen] = np.arange(1, size)
+        size = len(seen) + 2  # class 0: the place before the text (and zero bytes); the last: bytes never seen
+        classes = np.full(256, size - 1, np.int32)
+        classes[0] = 0
+        classes[seen] = np.arange(1, size - 1)
         a, b, c, s = (classes[x].astype(np.int64) for x in by)
-        kept = s > 0
-        a, b, c, s, lang, n = a[kept], b[kept], c[kept], s[kept], self.lang[kept], self.n[kept]
+        lang, n = self.lang, self.n
 
         def known(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Distinct contexts, and the dense counts context x class x language."""
