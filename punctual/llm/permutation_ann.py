@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from punctual.llm.common import written
 
 #: Parameters of the query. Pivots are a bounded sample; all vectors are indexed.
-PIVOTS, PLACES, RERANK = 256, 64, 0.12
+PIVOTS, PLACES, RERANK = 256, 96, 0.2
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 4096
 
 
