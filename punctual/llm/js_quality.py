@@ -210,3 +210,44 @@ def keep_good(docs: DataFrame, *, common: dict[str, list[str]] | None = None, li
     counted = written(measure(row, common=common).drop("text", "_words"), "quality-rows")
     refs = references(counted, common, min_words=limits["min_words"])
     return judge(counted, refs, **limits).where("kept").select("_row.*")
+
+
+def sql(common: dict[str, list[str]] | None = None, limits: dict | None = None) -> str:
+    """`quality` over all documents as DuckDB SQL, distances rounded to 6 places."""
+    common, x = common or COMMON_WORDS, limits or LIMITS
+    names = vocabulary(common)
+    quoted = ", ".join(f"('{w}')" for w in names)
+    text = lambda p: p.replace("'", "''")
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{text(p)}', '', 'g')) AS c_{n}" for n, p in CLASSES.items() if n != "other_letter")
+    rest = " - ".join(f"c_{n}" for n in CLASSES if n not in ("other_letter",))
+    bins = ", ".join(f"('{n}', c_{n})" for n in CLASSES)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS m, doc_id, coalesce(text, '') AS t, lang FROM documents),
+w AS MATERIALIZED (SELECT m, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') AS ws FROM d),
+word AS MATERIALIZED (SELECT m, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT m, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM word WINDOW o AS (PARTITION BY m ORDER BY i)),
+twice AS (SELECT m, i FROM (SELECT m, i, count(*) OVER (PARTITION BY m, s) AS n FROM win WHERE s IS NOT NULL) WHERE n > 1),
+again AS (SELECT m, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY m),
+line AS (SELECT m, count(*) - count(DISTINCT x) AS n FROM (SELECT m, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{NOT_SPACE}') GROUP BY m),
+c0 AS (SELECT m, length(t) AS n, length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS letters, {counts} FROM d),
+c AS MATERIALIZED (SELECT *, letters - c_lower - c_upper AS c_other_letter, n - letters + c_lower + c_upper - ({rest.replace(" - ", " + ")}) AS c_rest FROM c0),
+base AS MATERIALIZED (SELECT d.m, doc_id, lang, len(ws)::bigint AS n_words, c.n - c_space AS word_chars, c_mark AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  (len(ws) < 10 OR 100 * coalesce(again.n, 0) > 20 * len(ws)) AS base_failed FROM d JOIN w USING (m) JOIN c USING (m) LEFT JOIN line USING (m) LEFT JOIN again USING (m)),
+v(w) AS (VALUES {quoted}),
+said AS (SELECT m, v.w, count(*) AS n FROM word JOIN v ON word.w = v.w OR word.w = upper(v.w[1]) || v.w[2:] GROUP BY ALL),
+other AS (SELECT m, '' AS w, n_words - coalesce(sum(n), 0) AS n FROM base LEFT JOIN said USING (m) GROUP BY m, n_words),
+h AS (SELECT m, 'common' AS kind, w AS bin, n FROM said UNION ALL SELECT m, 'common', w, n FROM other UNION ALL
+  SELECT m, 'chars', b.bin, b.n FROM c, LATERAL (VALUES {bins}, ('rest', c_rest)) AS b(bin, n)),
+share AS MATERIALIZED (SELECT m, kind, bin, n / nullif(sum(n) OVER (PARTITION BY m, kind), 0) AS p FROM h),
+good AS (SELECT m, lang FROM base WHERE lang IN ({", ".join(f"'{n}'" for n in common)}) AND NOT base_failed AND 10 * n_symbols <= n_words AND n_words >= {x["min_words"]}),
+size AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+ref AS MATERIALIZED (SELECT lang, kind, bin, sum(p) / any_value(size.n) AS q FROM share JOIN good USING (m) JOIN size USING (lang) GROUP BY lang, kind, bin),
+mixed AS (SELECT m, lang, kind, bin, p, 0::double AS q FROM share, size WHERE p IS NOT NULL UNION ALL SELECT m, lang, kind, bin, 0, q FROM ref, (SELECT DISTINCT m FROM share WHERE p IS NOT NULL)),
+pair AS (SELECT m, lang, kind, bin, sum(p) AS p, sum(q) AS q FROM mixed GROUP BY ALL),
+js AS (SELECT m, lang, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / 2 - sum(CASE WHEN p + q > 0 THEN (p + q) / 2 * log2((p + q) / 2) ELSE 0 END))) AS x FROM pair GROUP BY ALL),
+full_ AS (SELECT m FROM share GROUP BY m HAVING count(DISTINCT kind) FILTER (p IS NOT NULL) = 2),
+near AS (SELECT m, lang, chars, common, chars + {x["weight"]} * common AS js FROM (SELECT m, lang, max(x) FILTER (kind = 'chars') AS chars, max(x) FILTER (kind = 'common') AS common FROM js JOIN full_ USING (m) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY m ORDER BY chars + {x["weight"]} * common, chars, common, lang) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(n_words < {x["min_words"]} OR js <= {x["most"]} + {x["slack"]} / sqrt(n_words), true) AS kept,
+  round(chars, 6) AS js_chars, round(common, 6) AS js_common, near.lang AS js_lang, round(js, 6) AS js FROM base LEFT JOIN near USING (m)
+"""

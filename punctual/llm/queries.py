@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, toxicity_chain, url_digest
 from punctual.llm.common import ship, table
@@ -20,7 +21,8 @@ def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_js_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_quality.quality(table(spark, sf_dir, "documents"))
+    found = js_quality.quality(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_common", "js")})
 
 
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL}
+    return {"op3_js_quality_rules": js_quality.sql(), "op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL}
