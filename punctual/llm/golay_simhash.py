@@ -31,7 +31,7 @@ SEED = 42
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that are compared at once; larger groups are compared block by block.
-BLOCK = 1024
+BLOCK = 512
 
 
 def fingerprint(text: str | None) -> int:
@@ -167,35 +167,70 @@ def _stars(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return used[label[other]], used[other]
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: links (lo, hi) that connect what every key's near rows connect."""
+def _dense_stars(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the links between two blocks of fingerprints (rows of x, then of y), as stars of row numbers."""
+    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+    label = np.arange(len(x) + len(y), dtype=np.int32)
+    none = np.int32(len(label))
+    while True:
+        left, right = label[: len(x)], label[len(x) :]
+        new = np.concatenate([np.minimum(left, np.where(near, right[None, :], none).min(1)), np.minimum(right, np.where(near, left[:, None], none).min(0))])
+        if (new == label).all():
+            other = np.flatnonzero(label != np.arange(len(label)))
+            return label[other].astype(np.int64), other
+        label = new
+
+
+class _Found:
+    """Links as pairs of row numbers; what they connect is kept in few of them."""
+
+    def __init__(self, most: int = 200_000):
+        self.parts, self.many, self.most = [], 0, most
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append((a, b))
+        self.many += len(a)
+        if self.many > self.most:
+            self.parts = [self.stars()]
+            self.many = len(self.parts[0][0])
+            self.most = max(self.most, 2 * self.many)
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        return _stars(np.arange(max(a.max(initial=0), b.max(initial=0)) + 1), a, b)
+
+
+def _links(batches: Iterator[pa.RecordBatch], distance: int, rows_at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: links (lo, hi) that connect what every key's near rows connect.
+
+    Memory is bounded by `rows_at_once`, by the rows of the largest key (24 bytes each), and by
+    BLOCK squared; of a large key only stars are kept, not its pairs.
+    """
     kept = [np.zeros(0, np.int64)] * 3
 
     def found(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        lefts, rights = [], []
-        small = sizes[group] <= 64
-        d = 1
-        while True:
+        few = 32
+        small = np.repeat(sizes <= few, sizes)
+        links = _Found()
+        for d in range(1, few):
             left = np.flatnonzero(small[:-d] & (keys[d:] == keys[:-d])) if d < len(keys) else np.zeros(0, np.int64)
             if not len(left):
                 break
-            near = np.bitwise_count(fps[left] ^ fps[left + d]) <= distance
-            lefts.append(left[near])
-            rights.append(left[near] + d)
-            d += 1
-        for s, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-            own = fps[s : s + n]
-            for i in range(0, n, BLOCK):
-                for j in range(0, i + 1, BLOCK):
-                    x, y = np.nonzero(np.bitwise_count(own[i : i + BLOCK, None] ^ own[None, j : j + BLOCK]) <= distance)
-                    lo, hi = _stars(np.arange(n), x + i, y + j)
-                    lefts.append(s + lo)
-                    rights.append(s + hi)
-        if lefts:
-            lo, hi = _stars(nodes, np.concatenate(lefts), np.concatenate(rights))
+            left = left[np.bitwise_count(fps[left] ^ fps[left + d]) <= distance]
+            links.add(left, left + d)
+        for s, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+            for i in range(s, s + n, BLOCK):
+                for j in range(s, i + 1, BLOCK):
+                    x, y = (np.arange(k, min(k + BLOCK, s + n)) for k in (i, j))
+                    rows = np.concatenate([x, y])
+                    a, b = _dense_stars(fps[x], fps[y], distance)
+                    a, b = rows[a], rows[b]
+                    links.add(a[a != b], b[a != b])
+        if links.many:
+            a, b = links.stars()
+            lo, hi = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
             yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
 
     for batch in batches:
@@ -203,7 +238,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         if not len(columns[0]):
             continue
         kept = [np.concatenate([x, y]) for x, y in zip(kept, columns, strict=True)]
-        if len(kept[0]) < 1 << 17:
+        if len(kept[0]) < rows_at_once:
             continue
         whole = np.searchsorted(kept[0], kept[0][-1])  # the last key may go on
         if whole:
