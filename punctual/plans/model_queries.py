@@ -161,7 +161,13 @@ def _joined(t: Tables) -> DataFrame:
     return pipelines.build_joined(_flights(t), _airports(t), pipelines.build_weather(_weather(t)), key=["flight"])
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT event_id AS flight, user_id % 25 AS o, event_id * 7 % 25 AS d, date_trunc('minute', ts) AS local FROM events), z AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{z}')" for i, z in enumerate(ZONES))}) AS z(k, zone)),
+h AS (SELECT user_id::varchar AS s, date_trunc('hour', date_trunc('second', ts) + INTERVAL 59 MINUTE) AS hour, round(avg(CASE WHEN event_id % 3 = 0 THEN 29.92 ELSE round(value, 2) END), 4) AS altimeter, max((event_id % 7 = 1)::int) AS calm FROM events GROUP BY ALL),
+u AS (SELECT f.*, timezone('UTC', timezone(zone, local)) AS utc, CASE WHEN o % 3 <> 0 THEN o ELSE o + 100 END::varchar AS os, CASE WHEN d % 3 <> 0 THEN d ELSE d + 100 END::varchar AS ds FROM f JOIN z ON o % 5 = k)
+SELECT flight, o::varchar AS ORIGIN, d::varchar AS DEST, utc AS utc_ts, os AS origin_station, ds AS dest_station, a.altimeter AS origin_altimeter, b.calm AS dest_weather_Calm_Winds
+FROM u JOIN h a ON a.s = os AND a.hour = date_trunc('hour', utc - INTERVAL 2 HOUR) JOIN h b ON b.s = ds AND b.hour = date_trunc('hour', utc - INTERVAL 2 HOUR)
+""")
 def q3_build_joined(t: Tables) -> DataFrame:
     return _joined(t).select("flight", "ORIGIN", "DEST", F.col("utc_ts").cast("timestamp_ntz").alias("utc_ts"), "origin_station", "dest_station", F.round("origin_weather_avg_HourlyAltimeterSetting", 4).alias("origin_altimeter"), "dest_weather_Calm_Winds")
 
