@@ -11,6 +11,7 @@ their length, which Spark counts in salted groups.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from bisect import bisect_right
@@ -227,7 +228,7 @@ def _greedy(fill: tuple, rest: int, lengths: list[int], left: dict[int, int], la
     return fill
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, *, most_nodes: int = 20_000, width: int = 3) -> list[Pattern]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, *, most_nodes: int = 4_000, width: int = 3) -> list[Pattern]:
     """A plan for a histogram of lengths (1 to `capacity`).
 
     Searches depth first over fillings of the largest length left, with at most `most_nodes` steps;
@@ -286,14 +287,15 @@ class Places:
         return self.first[at] + i // self.per[at], self.offset[at] + i % self.per[at] * length
 
 
-def ranks(rows: DataFrame, group: str, order: list[str], *, per_salt: int = 20_000) -> DataFrame:
+def ranks(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """`rows` with `rank`: from 0, without gaps, in each group of equal `group`, however large one is.
 
-    Rows are dealt to salts by the hash of `order`, so many that a salt has about `per_salt` rows of
-    the largest group; ranks within a salt and sums over salts before it make the rank.
+    Rows are dealt to salts by the hash of `order`, as many as the root of the largest group's rows,
+    so neither a salt nor the list of salts grows as that group does. Ranks within a salt and sums
+    over the salts before it make the rank.
     """
     top = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = max(1, -(-top // per_salt))
+    salts = max(1, math.isqrt(top))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     inside = Window.partitionBy(group, "_salt").orderBy(*order)
     before = Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
