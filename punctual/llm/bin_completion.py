@@ -2,8 +2,8 @@
 
 The plan is made on the histogram of piece lengths, which has at most as many rows as a sequence
 has tokens, however many documents there are. Around the largest length that is left, undominated
-fillings of the rest of the sequence are tried, least waste first; a filling is repeated as often
-as its lengths allow. A partial plan is dropped once its waste shows that it can't beat the best
+fillings of the rest of the sequence are tried, least waste first; each is repeated as often as its
+lengths allow, then less often. A partial plan is dropped once its waste shows that it can't beat the best
 plan known, which at first is best-fit decreasing on the same histogram. The plan says which
 lengths stand together how often; rows take their places in it by their rank among the rows of
 their length, which Spark counts in salted groups.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -150,116 +150,194 @@ class Pattern:
 
 
 def _best_fit(counts: Counter, capacity: int) -> list[Pattern]:
-    """Best-fit decreasing: the largest length opens a sequence, the largest that fits follows, and so on."""
-    left, lengths, plan = dict(counts), sorted(counts), []
-    while lengths:
-        rest, fill = capacity, Counter()
-        while (at := bisect_right(lengths, rest)) and rest:
-            for k in range(at - 1, -1, -1):
-                if left[lengths[k]] > fill[lengths[k]]:
-                    break
+    """Best-fit decreasing: every length goes to the tightest open sequence that it fits, or opens one.
+
+    What one length leaves of a sequence is the tightest place for the next of the same length, so
+    it fills a sequence as often as it fits before another is taken, and equal sequences go together.
+    """
+    open_: dict[int, list[tuple[tuple, int]]] = {capacity: []}  # by room: contents and how many
+    rooms: list[int] = []
+
+    def put(room: int, fill: tuple, times: int) -> None:
+        if room not in open_ or not open_[room]:
+            open_[room] = []
+            if room < capacity:
+                insort(rooms, room)
+        open_[room].append((fill, times))
+
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            at = bisect_left(rooms, x)
+            if at < len(rooms):
+                room = rooms[at]
+                fill, times = open_[room].pop()
+                if not open_[room]:
+                    rooms.pop(at)
             else:
-                break
-            fill[lengths[k]] += 1
-            rest -= lengths[k]
-        _take(plan, left, lengths, fill)
+                room, fill, times = capacity, (), n
+            per = min(room // x, n)
+            used = min(times, n // per)
+            put(room - per * x, (x, per, fill), used)
+            if times > used and fill:
+                put(room, fill, times - used)
+            n -= per * used
+    plan = []
+    for groups in open_.values():
+        for fill, times in groups:
+            found = {}
+            while fill:
+                x, per, fill = fill
+                found[x] = per
+            plan.append(Pattern(found, times))
     return plan
 
 
-def _take(plan: list[Pattern], left: dict[int, int], lengths: list[int], fill: Counter) -> None:
-    """Repeat a filling as often as there are lengths for it."""
-    times = min(left[x] // n for x, n in fill.items())
-    plan.append(Pattern(dict(fill), times))
-    for x, n in fill.items():
-        left[x] -= n * times
-        if not left[x]:
-            lengths.remove(x)
-
+def _fillings(left: dict[int, int], lengths: list[int], capacity: int) -> Iterator[dict[int, int] | None]:
+    """All undominated fillings around the largest length left, least waste first; None for each dominated one passed.
 
-def _completions(lengths: list[int], left: dict[int, int], largest: int, capacity: int, most: int) -> list[Counter]:
-    """Undominated fillings around `largest`, least waste first, at most `most` of them.
-
-    One more length that fills exactly dominates all else. Otherwise the largest that fits, and
-    pairs and triples that fill more: a filling is dominated by one of the same number of lengths
-    that are each as large, so for every larger length only the best last one is taken.
+    By sums of lengths that bounded numbers of them reach (as bits), so every step of the
+    enumeration ends in a filling. Of one sum the fillings of larger lengths come first.
     """
+    largest = lengths[-1]
     rest = capacity - largest
-    have = lambda x, n: left.get(x, 0) - (x == largest) >= n
-
-    def fits(limit: int, used: tuple = ()) -> int:
-        """The largest length up to `limit` that is left besides those used."""
-        at = bisect_right(lengths, limit) - 1
-        while at >= 0 and not have(lengths[at], used.count(lengths[at]) + 1):
-            at -= 1
-        return lengths[at] if at >= 0 else 0
-
-    one = fits(rest)
-    if not one:
-        return [Counter({largest: 1})]
-    found = {(one,)}
-    if one < rest:
-        tops = [x for x in reversed(lengths[: bisect_right(lengths, rest)]) if have(x, 1)]
-        for x in tops[:200]:
-            y = fits(min(x, rest - x), (x,))
-            if y:
-                found.add((x, y))
-                if x + y == rest and len(found) > most:
-                    break
-                if x + y < rest:
-                    for v in [y, *[t for t in tops if t < y][:4]]:
-                        z = fits(min(v, rest - x - v), (x, v))
-                        if z:
-                            found.add((x, v, z))
-    best = sorted(found, key=lambda f: (rest - sum(f), len(f), [-x for x in f]))
-    out = []
-    for f in best:
-        if not any(len(g) == len(f) and all(a >= b for a, b in zip(g, f, strict=True)) for g in out):
-            out.append(f)
-        if len(out) == most:
-            break
-    return [Counter((largest, *_greedy(f, rest, lengths, left, largest, fits))) for f in out]
-
-
-def _greedy(fill: tuple, rest: int, lengths: list[int], left: dict[int, int], largest: int, fits) -> tuple:
-    """A filling with what still fits beside it."""
-    room = rest - sum(fill)
-    while room and (x := fits(room, fill)):
-        fill, room = (*fill, x), room - x
-    return fill
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, *, most_nodes: int = 4_000, width: int = 3) -> list[Pattern]:
+    own = lengths[: bisect_right(lengths, rest)]
+    many = [min(left[x] - (x == largest), rest // x) for x in own]
+    everything = (1 << (rest + 1)) - 1
+    reach, bits = [1], 1
+    for x, n in zip(own, many, strict=True):
+        step = 1
+        while n and bits != everything:
+            step = min(step, n)
+            bits |= (bits << step * x) & everything
+            n, step = n - step, 2 * step
+        reach.append(bits)
+
+    def exact(i: int, total: int) -> Iterator[tuple]:
+        """Fillings of just `total` from the first i lengths, as (length, how many, ...)."""
+        if not total:
+            yield ()
+            return
+        for j in range(min(i, bisect_right(own, total)) - 1, -1, -1):
+            if not reach[j + 1] >> total & 1:
+                return
+            x = own[j]
+            for n in range(min(many[j], total // x), 0, -1):
+                if reach[j] >> (total - n * x) & 1:
+                    for more in exact(j, total - n * x):
+                        yield (x, n, *more)
+
+    others = sum(1 << x for x in own)
+    for waste in range(rest + 1):
+        if not bits >> (rest - waste) & 1:
+            continue
+        for found in exact(len(own), rest - waste):
+            fill = dict(zip(found[::2], found[1::2], strict=True))
+            # lengths that aren't in it, and sums of one and of several of those that are
+            out = others
+            for x, n in fill.items():
+                if left[x] - (x == largest) == n:
+                    out ^= 1 << x
+            if largest <= rest and left[largest] == 1:
+                out &= ~(1 << largest)
+            one = several = 0
+            for x, n in fill.items():
+                for _ in range(n):
+                    several |= several << x | one << x
+                    one |= 1 << x
+            # dominated: a length outside could stand for some inside that are no longer together
+            near, span, wide = several, 1 | one | several, 1
+            while wide < waste:
+                more = min(wide, waste - wide)
+                span, wide = span | span << more, wide + more
+            if waste:
+                near |= span << 1
+            if out & near:
+                yield None
+                continue
+            fill[largest] = fill.get(largest, 0) + 1
+            yield fill
+
+
+@dataclass
+class _Step:
+    """A place of the search: fillings tried around one largest length, and the one in use."""
+
+    fillings: Iterator | None
+    waste: int
+    barred: tuple  # fillings of the same largest length whose number is settled
+    passed: int = 0  # fillings taken from the iterator
+    fill: dict[int, int] | None = None
+    times: int = 0
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, *, most_nodes: int = 20_000) -> list[Pattern]:
     """A plan for a histogram of lengths (1 to `capacity`).
 
-    Searches depth first over fillings of the largest length left, with at most `most_nodes` steps;
-    the best plan so far stands when they run out. The bound: no plan has fewer sequences than
-    ceil(tokens / capacity), so a partial plan may waste no more than the best plan's sequences
-    less one can hold beyond the tokens.
+    Searches depth first over all undominated fillings of the largest length left and over how often
+    each is used, most often first, with at most `most_nodes` steps (and ten times as many fillings
+    passed as dominated); the best plan so far stands when they run out. The bound: no plan has fewer
+    sequences than ceil(tokens / capacity), so a partial plan may waste no more than the best plan's
+    sequences less one can hold beyond the tokens.
     """
-    counts = Counter({x: n for x, n in counts.items() if n})
-    tokens = sum(x * n for x, n in counts.items())
-    best = _best_fit(counts, capacity)
+    left = {x: n for x, n in counts.items() if n}
+    tokens = sum(x * n for x, n in left.items())
+    best = _best_fit(Counter(left), capacity)
     best_n, least = sum(p.times for p in best), -(-tokens // capacity)
-    nodes = 0
-    # each step: (patterns so far, what is left, lengths, waste so far)
-    stack = [([], dict(counts), sorted(counts), 0)]
-    while stack and best_n > least and nodes < most_nodes:
-        done, left, lengths, waste = stack.pop()
-        nodes += 1
+    if best_n == least:
+        return best
+    lengths = sorted(left)
+    nodes = looks = 0
+    path = [_Step(_fillings(left, lengths, capacity), 0, ())]
+
+    def use(fill: dict[int, int], times: int) -> None:
+        for x, n in fill.items():
+            before = left.get(x, 0)
+            left[x] = before - n * times
+            if not left[x]:
+                del left[x]
+                lengths.pop(bisect_left(lengths, x))
+            elif not before:
+                insort(lengths, x)
+
+    while path and best_n > least and nodes < most_nodes and looks < 10 * most_nodes:
+        step = path[-1]
         allowed = (best_n - 1) * capacity - tokens
-        if waste > allowed:
+        if step.fill is not None:
+            use(step.fill, -step.times)
+            step.times -= 1
+        if not step.times:
+            if step.fillings is None:  # it was let go: find its place again
+                step.fillings = _fillings(left, lengths, capacity)
+                for _ in range(step.passed):
+                    next(step.fillings)
+            step.fill = None
+            while step.fill is None or step.fill in step.barred:
+                looks += 1
+                step.passed += 1
+                step.fill = next(step.fillings, False)
+                if step.fill is False or looks >= 10 * most_nodes:
+                    break
+            if not step.fill:
+                path.pop()
+                continue
+            step.times = min(left[x] // n for x, n in step.fill.items())
+        fill, lost = step.fill, capacity - sum(x * n for x, n in step.fill.items())
+        if step.waste + lost > allowed:  # so does every later filling
+            path.pop()
             continue
+        step.times = min(step.times, (allowed - step.waste) // lost) if lost else step.times
+        nodes += 1
+        largest = lengths[-1]
+        use(fill, step.times)
         if not lengths:
-            best, best_n = done, sum(p.times for p in done)
+            best = [Pattern(dict(p.fill), p.times) for p in path]
+            best_n = sum(p.times for p in path)
             continue
-        tried = []
-        for fill in _completions(lengths, left, lengths[-1], capacity, width):
-            now, rest = dict(left), list(lengths)
-            more = list(done)
-            _take(more, now, rest, fill)
-            lost = (capacity - sum(x * n for x, n in fill.items())) * more[-1].times
-            tried.append((more, now, rest, waste + lost))
-        stack += reversed(tried)
+        barred = (*step.barred, fill) if lengths[-1] == largest else ()
+        path.append(_Step(_fillings(left, lengths, capacity), step.waste + lost * step.times, barred))
+        if len(path) > 64:  # their sums of lengths take memory
+            path[-65].fillings = None
     return best
 
 

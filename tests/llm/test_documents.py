@@ -324,6 +324,33 @@ def test_plans_are_optimal_on_small_bins():
         assert sum(p.times for p in plan) == exact_bins(lengths, 20)
 
 
+def test_best_fit_takes_the_tightest():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        lengths = rng.integers(1, 31, int(rng.integers(1, 80))).tolist()
+        rooms = []
+        for x in sorted(lengths, reverse=True):
+            fit = min((r for r in rooms if r >= x), default=None)
+            if fit is None:
+                rooms.append(30 - x)
+            else:
+                rooms[rooms.index(fit)] -= x
+        plan = bin_completion._best_fit(Counter(lengths), 30)
+        assert sorted(30 - sum(x * n for x, n in p.fill.items()) for p in plan for _ in range(p.times)) == sorted(rooms)
+
+
+def test_plans_are_optimal_past_the_cuts():
+    rng = np.random.default_rng(13)
+    for k in range(40):
+        lengths = []
+        for _ in range(int(rng.integers(3, 7))):  # whole sequences cut at random: the bound is reached
+            cuts = np.sort(rng.choice(np.arange(1, 1000), int(rng.integers(2, 6)), replace=False))
+            lengths += np.diff([0, *cuts, 1000]).tolist()
+        plan = bin_completion.plan(Counter(lengths), 1000)
+        assert sum((Counter({x: n * p.times for x, n in p.fill.items()}) for p in plan), Counter()) == Counter(lengths)
+        assert sum(p.times for p in plan) == sum(lengths) // 1000, k
+
+
 def check_places(rows, capacity):
     by = {}
     for r in rows:
