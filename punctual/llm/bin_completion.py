@@ -42,14 +42,15 @@ class Encoder:
 
     The tokenizer never looks across white space or from word to word, and words repeat. So ids are
     remembered, up to `most` runs between white space and `most` words; what isn't known goes to the
-    tokenizer, all words of a text at once. Texts with other than PLAIN characters go there whole.
+    tokenizer, all words of a text at once. Texts with other than PLAIN characters go there whole, and so
+    do texts that contain an added token, which the tokenizer takes out before it looks for words.
     """
 
     def __init__(self, file: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
@@ -93,7 +94,10 @@ class Encoder:
             odd = text.encode().translate(None, PLAIN)
         if odd:
             return self.raw(text)
-        runs = text.lower().split()
+        low = text.lower()
+        if any(x in low for x in self.added):
+            return self.raw(text)
+        runs = low.split()
         got = list(map(self.runs.get, runs))
         if None in got:
             new = self._resolve({r for r, x in zip(runs, got, strict=True) if x is None})

@@ -292,6 +292,16 @@ def test_ids_are_the_tokenizers(documents):
         assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    file = bin_completion.tokenizer_path("word_bpe_49k.json")
+    ours, theirs = bin_completion.Encoder(file), Tokenizer.from_file(file)
+    assert np.frombuffer(ours.encode("a page <|endoftext|> next"), "<u4").tolist() == [320, 2504, 49407, 1131]
+    for t in ["<|startoftext|>", "x<|endoftext|>y <|startoftext|>", "日本 <|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext|", "< |endoftext|>", "a page <|endoftext|> next"] * 2:
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
 def exact_bins(lengths, capacity):
     best = len(lengths)
 
