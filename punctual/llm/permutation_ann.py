@@ -4,8 +4,9 @@ Every vector is represented by its nearest pivots in order. A block of vectors k
 file for each pivot: the vectors that have it among theirs, and at which place. A query walks the
 files of its own pivots and sums Spearman's footrule, where a missing pivot counts as one place past
 the last. The share of a block with the least distances is then ranked by exact inner products.
-Blocks are dealt by the hash of the id, so that equal vectors spread evenly; each block meets the
-queries in blocks, and a query's best of all blocks are merged.
+Equal vectors stand in the index once, with the ids that can matter to a query. Blocks are dealt by
+the hash of the least id; each block meets the queries in blocks, and a query's best of all blocks
+are merged.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ def usable(vectors: DataFrame, *, key: str = "vec_id", embedding: str = "embeddi
     return good.where(F.size("v") == (sizes["size"] if sizes else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def distinct(good: DataFrame, most: int) -> DataFrame:
+    """id (the least), ids (the `most` least, ascending) and v of the different vectors among rows (id, v)."""
+    least = good.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_n") <= most)
+    return least.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")).select("id", "ids", "v")
+
+
 def sample_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """Up to `n` different vectors, those with the least hashes of their ids."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(n).toArrow().column("v").to_pylist()
@@ -51,8 +58,13 @@ def _order(vectors: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :places].astype(np.int16)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, places: int, rerank: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best of one block for each query."""
+def search_block(ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, places: int, rerank: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best of one block for each query.
+
+    `ids` has the ids of the first of the (different) vectors, then those of the second, and so on,
+    as many as `counts` says: of a vector that has more ids the k + 1 least will do. Vectors that
+    tie with the last one of the share to be ranked are all ranked.
+    """
     places = min(places, len(pivots))
     orders = _order(vectors, pivots, places)
     # the inverted files: rows and places by pivot
@@ -60,25 +72,28 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     by = np.argsort(flat, kind="stable")
     rows, place = (by // places).astype(np.int32), (by % places).astype(np.int32)
     cuts = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-    take = min(len(ids), max(8 * k, int(np.ceil(rerank * len(ids)))))
+    take = min(len(vectors), max(8 * k, int(np.ceil(rerank * len(vectors)))))
+    starts = np.cumsum(counts) - counts
     out = []
     for q, mine in enumerate(_order(queries, pivots, places)):
         # pivots that only one of both has cost the places they are short of the end: the same sum for
         # all vectors, less what the shared ones would have cost
-        apart = np.zeros(len(ids), np.int32)
+        apart = np.zeros(len(vectors), np.int32)
         for r, p in enumerate(mine.tolist()):
             s, e = cuts[p], cuts[p + 1]
             apart[rows[s:e]] += np.abs(place[s:e] - r) - (places - r) - (places - place[s:e])
-        near = np.argpartition(apart, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != query_ids[q]]
-        if not len(near):
-            continue
+        near = np.flatnonzero(apart <= np.partition(apart, take - 1)[take - 1])
         rough = vectors[near] @ queries[q]
-        if len(near) > k:  # all that may be among the k best, ties and rounding included
-            near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 1e-9]
+        if len(near) > k + 1:  # all that may be among the k best besides the query, ties and rounding included
+            near = near[rough >= np.partition(rough, len(near) - k - 1)[len(near) - k - 1] - 1e-9]
         score = (vectors[near] * queries[q]).sum(1)
-        best = np.lexsort((ids[near], -score))[:k]
-        out.append((np.full(len(best), q), ids[near[best]], score[best]))
+        # from vectors to their ids, without the query's own
+        many = counts[near]
+        names = ids[np.arange(many.sum()) + np.repeat(starts[near] - (np.cumsum(many) - many), many)]
+        score = np.repeat(score, many)[names != query_ids[q]]
+        names = names[names != query_ids[q]]
+        best = np.lexsort((names, -score))[:k]
+        out.append((np.full(len(best), q), names[best], score[best]))
     if not out:
         return np.zeros(0, np.int64), ids[:0], np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -92,12 +107,13 @@ def nearest(vectors: DataFrame, *, k: int = 20, query: str = "id % 20 = 0", pivo
     are neither queries nor found.
     """
     good = written(usable(vectors, key=key, embedding=embedding), "vectors")
-    many, asked = good.agg(F.count("*"), F.count_if(F.expr(query))).first()
-    held = good.sparkSession.sparkContext.broadcast(sample_pivots(good, pivots))
+    different = written(distinct(good, k + 1), "different")
+    many, asked = different.count(), good.where(query).count()
+    held = good.sparkSession.sparkContext.broadcast(sample_pivots(different, pivots))
     blocks, query_blocks = max(1, -(-many // VECTORS_PER_BLOCK)), max(1, -(-asked // QUERIES_PER_BLOCK))
     block, query_block = (F.pmod(F.xxhash64("id", F.lit(x)), F.lit(n)).cast("int") for x, n in (("block", blocks), ("query", query_blocks)))
     # every pair of blocks is one group; a block goes to as many groups as the other side has blocks
-    left = good.withColumn("b", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    left = different.withColumn("b", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = good.where(query).withColumn("q", query_block).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(vecs: pa.Table, asks: pa.Table) -> pa.Table:
@@ -105,7 +121,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, query: str = "id % 20 = 0", pivo
         if not len(query_ids) or not vecs.num_rows:
             found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            found = search_block(vecs.column("id").to_numpy(), _matrix(vecs.column("v")), query_ids, _matrix(asks.column("v")), held.value, k, places, rerank)
+            ids = vecs.column("ids").combine_chunks()
+            found = search_block(ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64), _matrix(vecs.column("v")), query_ids, _matrix(asks.column("v")), held.value, k, places, rerank)
         return pa.table({"query_id": pa.array(query_ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(search, "query_id long, vec_id long, score double")

@@ -111,6 +111,27 @@ def test_recall_and_scores(spark):
     assert hit / n > 0.9
 
 
+def test_recall_with_copies(spark):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect())
+    common = rows[7][1]
+    rows = [(i, common if n % 3 == 1 else v) for n, (i, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in permutation_ann.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    shares = {True: [], False: []}
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = (v * v[i]).sum(1)
+        scores[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
+        shares[i % 3 == 1].append(len(best & got[ids[i]]) / 20)
+    print({k: (len(x), np.mean(x)) for k, x in shares.items()})
+    assert np.mean(shares[True]) == 1 and np.mean(shares[False]) > 0.9
+    different = permutation_ann.distinct(permutation_ann.usable(df), 21)
+    assert len(permutation_ann.sample_pivots(different)) == permutation_ann.PIVOTS
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [None, 1.0]), (4, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (6, [])]
