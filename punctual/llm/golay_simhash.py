@@ -21,7 +21,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.common import written
@@ -55,14 +55,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and fp (bigint: the 64 bits as a signed number) of every row; null and empty texts have 0."""
+def fingerprints_of(text: str) -> Column:
+    """The 64 bits as a signed number; null and empty texts have 0."""
 
     @F.arrow_udf("bigint")
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(key), fp(F.col(text)).alias("fp"))
+    return fp(F.col(text))
+
+
+def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and fp (bigint: the 64 bits as a signed number) of every row; null and empty texts have 0."""
+    return docs.select(F.col(key), fingerprints_of(text).alias("fp"))
 
 
 @cache
@@ -294,28 +299,38 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
+def groups(fps: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component: the least fp it reaches) for every different fp. Fingerprints are the nodes, so ids play no part."""
+    nodes = written(fps.select("fp").distinct().withColumn("node", F.col("fp")), "nodes")
+    found = components(links(nodes, distance=distance))
+    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """key, fingerprint (16 hex digits), component_id (the smallest key reachable) of every row.
 
     Copies share a fingerprint and count once from then on. Texts without words have the
-    fingerprint 0, which is linked like any other. Rows with a null key take no part in the links'
-    ids but keep their fingerprint; their component_id is that of their fingerprint.
+    fingerprint 0, which is linked like any other. Rows with a null key are linked like others, but
+    name no component: one that has only such rows has a null component_id.
     """
     fps = written(fingerprints(docs, text=text, key=key).withColumnRenamed(key, "key"), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("key").alias("node")).where("node is not null"), "nodes")
-    found = components(links(nodes, distance=distance))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    joined = fps.join(named, "fp", "left")
+    least = fps.groupBy("fp").agg(F.min("key").alias("least"))
+    found = written(groups(fps, distance=distance).join(least, "fp"), "groups")
+    names = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = fps.join(found.join(names, "component").select("fp", "component_id"), "fp", "left")
     return joined.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; all columns stay.
+    """One row of each component: that with the smallest doc_id; all columns stay.
 
-    Of several rows with one doc_id the first by their other columns' hash stays. Rows without
-    a doc_id aren't compared and stay.
+    Verdicts go by the row, not by its doc_id: different texts under one id are different
+    documents. Of several rows with that id the first by the hash of all columns stays; rows
+    without a doc_id are compared like others and come last.
     """
-    known = docs.where("doc_id is not null")
-    first = near_duplicates(known, distance=distance).where("doc_id = component_id").select("doc_id").distinct()
-    kept = known.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("_hash"), F.monotonically_increasing_id().alias("_id"))
+    hashed = written(rows.withColumn("fp", fingerprints_of("text")).drop("text"), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")
+    least = hashed.groupBy("fp").agg(F.min(rank).alias("least"))
+    first = groups(hashed, distance=distance).join(least, "fp").groupBy("component").agg(F.min("least").alias("least"))
+    return hashed.join(first.select(F.col("least._id").alias("_id")), "_id", "left_semi").select("_row.*")

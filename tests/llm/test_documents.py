@@ -243,6 +243,18 @@ def test_near_duplicates_of_cases(spark):
     assert golay_simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_first_of_repeated_and_missing_ids(spark):
+    texts = ["the first of the texts under one id is about ships and the sea", "quite another text under that id tells of mountains, snow and ice", "a third text without any id speaks of bread and butter for tea"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[1]), (None, texts[0]), (1, texts[0]), (3, texts[2].upper()), (None, "nobody else says what this row without an id says"), (None, "nobody else says what this row without an id says")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, fp string")
+    kept = golay_simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("1", texts[1]), ("3", texts[2].upper()), ("None", rows[-1][1])])
+    found = golay_simhash.near_duplicates(df.drop("fp")).collect()
+    assert len(found) == len(rows) and len({r["fingerprint"] for r in found}) == 4
+    assert Counter(r["component_id"] for r in found) == {1: 5, 3: 3, None: 2}
+
+
 # Resampling
 
 
