@@ -106,6 +106,7 @@ def test_recall_and_scores(spark):
         best = ids[np.lexsort((ids, -scores))[:20]]
         found = sorted(got[ids[i]])
         assert [r for r, *_ in found] == list(range(1, 21)) and [s for *_, s in found] == sorted((s for *_, s in found), reverse=True)
+        assert np.allclose([s for *_, s in found], [scores[np.searchsorted(ids, x)] for _, x, _ in found], rtol=0, atol=1e-12)
         hit += len(set(best.tolist()) & {x for _, x, _ in found})
         n += 20
     assert hit / n > 0.9
@@ -129,7 +130,20 @@ def test_recall_with_copies(spark):
     print({k: (len(x), np.mean(x)) for k, x in shares.items()})
     assert np.mean(shares[True]) == 1 and np.mean(shares[False]) > 0.9
     different = permutation_ann.distinct(permutation_ann.usable(df), 21)
-    assert len(permutation_ann.sample_pivots(different)) == permutation_ann.PIVOTS
+    found = permutation_ann.sample_pivots(different)
+    assert {s: len(np.unique(p, axis=0)) for s, p in found.items()} == {64: different.count()}
+    assert len(permutation_ann.sample_pivots(different, 100)[64]) == 100
+
+
+def test_cells_lose_little(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    whole = {(r["query_id"], r["vec_id"]) for r in permutation_ann.nearest(df).collect()}
+    monkeypatch.setattr(permutation_ann, "ROWS_PER_CELL", 100)
+    monkeypatch.setattr(permutation_ann, "ROWS_PER_BLOCK", 60)  # most cells are split
+    dealt = {(r["query_id"], r["vec_id"]) for r in permutation_ann.nearest(df).collect()}
+    assert len(dealt) == len(whole) and len(dealt & whole) / len(whole) > 0.9
+    every = {(r["query_id"], r["vec_id"]) for r in permutation_ann.nearest(df, probe=1.0, rerank=1.0).collect()}
+    assert len(every & whole) / len(every) > 0.9
 
 
 def test_odd_vectors(spark):
@@ -137,6 +151,11 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [None, 1.0]), (4, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (6, [])]
     df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<float>, id string, v int")
     got = [tuple(r) for r in permutation_ann.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 1.0), (0, 4, 4, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0), (20, 4, 4, 0.5)]
+    others = [(1.0, 1), (1.0, 2), (0.5, 4), (0.5, 4)]
+    want = {0: [(1.0, 1), (1.0, 2), (1.0, 20), (0.5, 4), (0.5, 4)], 20: [(1.0, 0), *others]}
+    assert got == [(q, n + 1, i, s) for q in (0, 20) for n, (s, i) in enumerate(want[q])]
+    shared = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in permutation_ann.nearest(shared).collect())
+    assert got == sorted([(20, 1, 1, 1.0), (20, 2, 20, 0.0), (20, 3, 20, 0.0), *[(20, 1, 1, 1.0), (20, 2, 20, 1.0), (20, 3, 20, 0.0)] * 2, (40, 1, 2, 3.0)])
     assert permutation_ann.nearest(df.limit(0)).count() == 0
     assert permutation_ann.nearest(df.where("vec_id = 0")).count() == 0
