@@ -27,14 +27,63 @@ def test_pieces_are_the_librarys(spark, documents):
 
 
 def test_pieces_come_back(spark):
-    out = sentencepiece_lattice.summarise(frame(spark), MODEL)
-    got = {r["doc_id"]: r for r in out.collect()}
-    assert len(got) == len({r[0] for r in ROWS})
-    assert all(r["round_trip"] for r in got.values())
+    out = sentencepiece_lattice.summarise(frame(spark), MODEL).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in ROWS)
+    got = {r["doc_id"]: r for r in out}
+    assert all(r["round_trip"] for r in out)
     assert got[0]["n_pieces"] == got[1]["n_pieces"] == 0 and got[3]["n_pieces"] > 20_000
     assert sentencepiece_lattice.summarise(empty(spark), MODEL).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=MODEL)
+    rows = [(1, "hello world, hello"), (1, "hello world, hello"), (1, "another text"), (None, "hello world, hello"), (None, "x y"), (2, "hello world, hello"), (3, None), (3, "z"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r.asDict() for r in sentencepiece_lattice.summarise(df, MODEL).collect()]
+    want = sorted((str(i), len(sp.encode(t)) if t else 0) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_pieces"]) for r in out) == want
+    assert sorted(Counter(r["ids_digest"] for r in out).values()) == [1, 1, 1, 2, 4]
+    assert {r["ids_digest"] for r in out if not r["n_units"]} == {"0" * 16}
+    ids = [(str(r["doc_id"]), r["ids"]) for r in sentencepiece_lattice.encode_documents(df, MODEL).collect()]
+    assert sorted(ids) == sorted((str(i), sp.encode(t)) for i, t in rows if t)
+
+
+def test_long_runs_are_the_librarys(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    sp, rng = SentencePieceProcessor(model_file=MODEL), np.random.default_rng(2)
+    made = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = ["x" * 5000, "ab" * 700, "abcdefghi" * 300, made("abcdefghijklmnopqrstuvwxyz", 60_000), made("-=/#", 3000), "é日" * 600, made("the and ing".replace(" ", ""), 4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encode_documents(df, MODEL).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sp.encode(t), i
+    assert all(r["round_trip"] for r in sentencepiece_lattice.summarise(df, MODEL).collect())
+
+
+def test_long_runs_have_the_largest_sum():
+    from punctual.llm.sentencepiece_lattice import Model, Piece, Run
+
+    scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.1, "aba": -3.7}
+    model = Model("unigram", [Piece(p, i, s, 0, [], []) for i, (p, s) in enumerate(scores.items())], 100, 3)
+    text = "".join(np.random.default_rng(4).choice(["a", "b"], 500))
+    run, sums = Run(model), [0.0]
+    edges = [(s + len(p), s, (i,)) for s in range(len(text)) for i, p in enumerate(scores) if text[s:].startswith(p)]
+    for w in range(0, len(text), 64):
+        run.extend([x for x in edges if w <= x[1] < w + 64], w + 64)
+    ids = run.ids()
+    for e in range(1, len(text) + 1):
+        sums.append(max(sums[e - n] + scores[text[e - n : e]] for n in (1, 2, 3) if n <= e and text[e - n : e] in scores))
+    names = list(scores)
+    assert "".join(names[i] for i in ids) == text and sum(scores[names[i]] for i in ids) == pytest.approx(sums[-1])
+
+
+def test_kind_is_read_from_the_model():
+    assert sentencepiece_lattice.model_kind(MODEL) == "bpe"
+
+
 def test_largest_sum_is_brute_force(spark):
     from punctual.llm.sentencepiece_lattice import Model, Piece, encode_units
 
