@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import written
+from punctual.llm.common import ship, written
 
 SHINGLE = 4
 SEED = 42
@@ -32,6 +32,8 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that are compared at once; larger groups are compared block by block.
 BLOCK = 512
+#: Keys with more rows are dealt to several tasks as pairs of parts of half as many rows.
+LARGE = 16_384
 
 
 def fingerprint(text: str | None) -> int:
@@ -205,13 +207,20 @@ class _Found:
         return _stars(np.arange(max(a.max(initial=0), b.max(initial=0)) + 1), a, b)
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, rows_at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], distance: int, large: int, rows_at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: links (lo, hi) that connect what every key's near rows connect.
 
-    Memory is bounded by `rows_at_once`, by the rows of the largest key (24 bytes each), and by
-    BLOCK squared; of a large key only stars are kept, not its pairs.
+    Rows of keys with over `large` rows come out as they went in (node as lo, k and fp), to be dealt
+    anew. So memory is bounded by `rows_at_once` and BLOCK squared, whatever the keys.
     """
-    kept = [np.zeros(0, np.int64)] * 3
+    kept, passing = [np.zeros(0, np.int64)] * 3, None
+
+    def linked(lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(lo), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none], ["lo", "hi", "k", "fp"])
+
+    def passed(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(fps.view(np.int64))], ["lo", "hi", "k", "fp"])
 
     def found(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -226,6 +235,9 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, rows_at_once: int =
             left = left[np.bitwise_count(fps[left] ^ fps[left + d]) <= distance]
             links.add(left, left + d)
         for s, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+            if n > large:
+                yield passed(keys[s : s + n], fps[s : s + n], nodes[s : s + n])
+                continue
             for i in range(s, s + n, BLOCK):
                 for j in range(s, i + 1, BLOCK):
                     x, y = (np.arange(k, min(k + BLOCK, s + n)) for k in (i, j))
@@ -235,34 +247,59 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, rows_at_once: int =
                     links.add(a[a != b], b[a != b])
         if links.many:
             a, b = links.stars()
-            lo, hi = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
+            yield linked(np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]))
 
     for batch in batches:
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "fp", "node")]
         if not len(columns[0]):
             continue
         kept = [np.concatenate([x, y]) for x, y in zip(kept, columns, strict=True)]
+        if passing is not None:  # more rows of a large key
+            more = np.searchsorted(kept[0], passing, side="right")
+            if more:
+                yield passed(kept[0][:more], kept[1][:more], kept[2][:more])
+                kept = [x[more:] for x in kept]
+            if not len(kept[0]):
+                continue
+            passing = None
         if len(kept[0]) < rows_at_once:
             continue
         whole = np.searchsorted(kept[0], kept[0][-1])  # the last key may go on
         if whole:
             yield from found(kept[0][:whole], kept[1][:whole].view(np.uint64), kept[2][:whole])
             kept = [x[whole:] for x in kept]
+        if len(kept[0]) > large:
+            passing = kept[0][0]
+            yield passed(*kept)
+            kept = [x[:0] for x in kept]
     if len(kept[0]):
         yield from found(kept[0], kept[1].view(np.uint64), kept[2])
 
 
-def links(nodes: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+LINKED = "lo long, hi long, k long, fp long"
+
+
+def links(nodes: DataFrame, *, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
     """Links (lo, hi) among rows (node, fp), one row for each distinct fp, within `distance` bits.
 
-    Not every close pair is listed, but whatever close pairs connect, the links connect.
+    Not every close pair is listed, but whatever close pairs connect, the links connect. A key with
+    over `large` rows is cut into parts by the hash of its rows, and each pair of parts is a group of
+    its own, so that no task has more than `large` rows or so of one key.
     """
     if distance > DISTANCE:
         raise ValueError("the keys find pairs of up to 4 differing bits")
+    ship(nodes.sparkSession)
     posted = nodes.mapInArrow(_post, "k long, fp long, node long")
     dealt = posted.repartition("k").sortWithinPartitions("k")
-    return dealt.mapInArrow(lambda batches: _links(batches, distance), "lo long, hi long").distinct()
+    found = written(dealt.mapInArrow(lambda batches: _links(batches, distance, large), LINKED), "key-links")
+    over = found.where("k is not null")
+    sizes = over.groupBy("k").agg((F.floor(F.count("*") / (large / 2)) + 1).cast("int").alias("parts"))
+    parted = over.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("lo"), F.col("parts")).cast("int"))
+    paired = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other != part")
+    group = F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other"))
+    again = paired.select(group.alias("k"), "fp", F.col("lo").alias("node")).repartition("k").sortWithinPartitions("k")
+    rest = again.mapInArrow(lambda batches: _links(batches, distance, 1 << 40), LINKED)
+    return found.where("k is null").select("lo", "hi").unionAll(rest.select("lo", "hi")).distinct()
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
