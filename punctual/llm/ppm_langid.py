@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.llm.common import unit_hash
+from punctual.llm.common import ship, unit_hash
 
 UNKNOWN = "und"
 ORDER = 3
@@ -54,9 +54,64 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _classes(by: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """(class of each byte, classes). Class 0: the place before the text (and zero bytes); the last: bytes never seen."""
+    seen = np.unique(np.concatenate([x[x > 0] for x in by]))
+    classes = np.full(256, len(seen) + 1, np.int32)
+    classes[0] = 0
+    classes[seen] = np.arange(1, len(seen) + 1)
+    return classes, len(seen) + 2
+
+
+def _tree(by: list[np.ndarray], n: np.ndarray, shared: np.ndarray, shared_size: int, twos: np.ndarray, threes: np.ndarray, number2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of one language: (row of each numbered context, class of each byte, costs by row * classes + class, classes)."""
+    classes, size = _classes(by)
+    s = classes[by[3]]
+    a, b, c = (shared[x].astype(np.int64) for x in by[:3])
+
+    def level(context: np.ndarray, shorter_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts of one length, and their costs, given the rows of the next shorter ones."""
+        nodes, at = np.unique(context, return_inverse=True)
+        counts = np.bincount(at * size + s, weights=n, minlength=len(nodes) * size).reshape(-1, size).astype(np.float32)
+        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            direct = -np.log2(counts / (total + kinds))
+            escape = -np.log2(kinds / (total + kinds))
+        return nodes, np.where(counts > 0, direct, shorter_row[nodes] + np.where(total > 0, escape, 0)).astype(np.float32)
+
+    _, zero = level(np.zeros_like(c), np.full((1, size), 8, np.float32))
+    nodes, one = level(c, np.broadcast_to(zero, (shared_size, size)))
+    row1 = np.zeros(shared_size, np.int32)
+    row1[nodes] = 1 + np.arange(len(nodes), dtype=np.int32)
+    table = np.concatenate([zero, one])
+
+    class Shorter:  # rows of contexts by the code of a longer one
+        def __init__(self, rows: np.ndarray, rest: int):
+            self.rows, self.rest = rows, rest
+
+        def __getitem__(self, nodes: np.ndarray) -> np.ndarray:
+            return table[self.rows[nodes % self.rest]]
+
+    nodes, two = level(b * shared_size + c, Shorter(row1, shared_size))
+    row2 = row1[twos % shared_size]
+    row2[np.searchsorted(twos, nodes)] = len(table) + np.arange(len(nodes), dtype=np.int32)
+    table = np.concatenate([table, two])
+    rows = np.concatenate([row1, row2])
+    nodes, three = level((a * shared_size + b) * shared_size + c, Shorter(rows[number2], shared_size * shared_size))
+    row3 = rows[number2[threes % (shared_size * shared_size)]]
+    row3[np.searchsorted(threes, nodes)] = len(table) + np.arange(len(nodes), dtype=np.int32)
+    table = np.minimum(np.rint(np.concatenate([table, three]) * SCALE), 65535).astype(np.uint16)
+    return np.concatenate([rows, row3]), classes, table.ravel(), size
+
+
 @dataclass
 class ContextTrees:
-    """The counts of four-byte runs per language, and the cost tables made from them on first use."""
+    """The counts of four-byte runs per language, and the cost tables made from them on first use.
+
+    Each language has rows only for contexts of its own, as wide as its own bytes; a context that
+    it lacks leads to the row of the longest shorter one that it has. So the tables grow with the
+    nodes of the trees, not with all contexts times all languages.
+    """
 
     langs: list[str]
     lang: np.ndarray
@@ -67,100 +122,75 @@ class ContextTrees:
     def __getstate__(self):
         return self.__dict__ | {"tables": None}
 
-    def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(class of each byte, row of each three-class context, cost by language and row * classes + class, classes)."""
+    def build(self) -> tuple[np.ndarray, np.ndarray, int, list]:
+        """(class of each byte, number of each three-class context, classes, for each language its `_tree`)."""
         if self.tables is not None:
             return self.tables
-        many = len(self.langs)
         by = [(self.gram >> s) & 255 for s in (24, 16, 8, 0)]
-        seen = np.unique(np.concatenate([x[x > 0] for x in by]))
-        size = len(seen) + 2  # class 0: the place before the text (and zero bytes); the last: bytes never seen
-        classes = np.full(256, size - 1, np.int32)
-        classes[0] = 0
-        classes[seen] = np.arange(1, size - 1)
-        a, b, c, s = (classes[x].astype(np.int64) for x in by)
-        lang, n = self.lang, self.n
-
-        def known(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Distinct contexts, and the dense counts context x class x language."""
-            nodes, at = np.unique(context, return_inverse=True)
-            counts = np.bincount((at * size + s) * many + lang, weights=n, minlength=len(nodes) * size * many)
-            return nodes, counts.reshape(len(nodes), size, many).astype(np.float32)
-
-        def costs(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                direct = -np.log2(counts / (total + kinds))
-                escape = -np.log2(kinds / (total + kinds))
-            return np.where(counts > 0, direct, shorter + np.where(total > 0, escape, 0)).astype(np.float32)
-
-        _, counts = known(np.zeros_like(s))
-        zero = costs(counts, np.full((1, size, many), 8, np.float32))
-        nodes, counts = known(c)
-        one = np.repeat(zero, size, 0)
-        one[nodes] = costs(counts, np.repeat(zero, len(nodes), 0))
-        two_nodes, counts = known(b * size + c)
-        two = costs(counts, one[two_nodes % size])
-        row2 = np.tile(np.arange(size, dtype=np.int32), size)
-        row2[two_nodes] = size + np.arange(len(two_nodes), dtype=np.int32)
-        three_nodes, counts = known((a * size + b) * size + c)
-        three = costs(counts, np.concatenate([one, two])[row2[three_nodes % (size * size)]])
-        row3 = np.tile(row2, size)
-        row3[three_nodes] = size + len(two_nodes) + np.arange(len(three_nodes), dtype=np.int32)
-        table = np.concatenate([one, two, three]).reshape(-1, many)
-        table = np.minimum(np.rint(table * SCALE), 65535).astype(np.uint16)
-        self.tables = classes, row3, np.ascontiguousarray(table.T), size
+        classes, size = _classes(by)
+        a, b, c = (classes[x].astype(np.int64) for x in by[:3])
+        # all contexts have one number: of one byte, of two, of three
+        twos, threes = np.unique(b * size + c), np.unique((a * size + b) * size + c)
+        number2 = np.tile(np.arange(size, dtype=np.int32), size)
+        number2[twos] = size + np.arange(len(twos), dtype=np.int32)
+        number3 = np.tile(number2, size)
+        number3[threes] = size + len(twos) + np.arange(len(threes), dtype=np.int32)
+        trees = []
+        for k in range(len(self.langs)):
+            own = self.lang == k
+            trees.append(_tree([x[own] for x in by], self.n[own], classes, size, twos, threes, number2))
+        self.tables = classes, number3, size, trees
         return self.tables
 
     def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The code length of each text (data from starts[i] to starts[i + 1]) in each language, in 1/256 bits."""
-        classes, row3, table, size = self.build()
+        classes, number3, size, trees = self.build()
         out = np.zeros((len(starts) - 1, len(self.langs)), np.int64)
         padded = np.concatenate([np.zeros(ORDER, np.uint8), data])
         for s in range(0, len(data), BLOCK):
             e = min(s + BLOCK, len(data))
             c = classes[padded[s : e + ORDER]]
             at = (c[:-3] * size + c[1:-2]) * size + c[2:-1]
-            own = c[ORDER:]
+            own = data[s:e]
             begins = starts[np.searchsorted(starts, s - 2) : np.searchsorted(starts, e)] - s
             # a text doesn't see the one before it: third, second, first byte, later writes win
             for k in (2, 1, 0):
                 x = begins + k
                 x = x[(x >= 0) & (x < e - s)]
                 at[x] = 0 if k == 0 else c[x + 2] if k == 1 else c[x + 1] * size + c[x + 2]
-            rows = row3[at] * np.int32(size) + own
+            contexts = number3[at]
             first = np.searchsorted(starts, s, side="right") - 1
             last = np.searchsorted(starts, e, side="left")
             cuts = np.maximum(starts[first:last] - s, 0)
             full = starts[first + 1 : last + 1] > np.maximum(starts[first:last], s)  # reduceat needs texts with bytes
-            for k in range(len(self.langs)):
-                out[first:last, k][full] += np.add.reduceat(table[k].take(rows), cuts[full], dtype=np.int64)
+            for k, (rows, own_classes, table, width) in enumerate(trees):
+                places = rows.take(contexts) * np.int32(width) + own_classes.take(own)
+                out[first:last, k][full] += np.add.reduceat(table.take(places), cuts[full], dtype=np.int64)
         return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_grams: int = 400_000, max_langs: int = 100) -> ContextTrees:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, grams_per_lang: int = 100_000) -> ContextTrees:
     """Learn the trees from a bounded sample: about `docs_per_lang` whole texts of each labelled language.
 
-    A text is in the sample if the hash of its key is under docs_per_lang / (texts of that language).
-    Of the counted byte runs the `max_grams` most frequent are kept (ties by value), of the
-    languages the `max_langs` most frequent. Rows without text or language teach nothing.
+    A text is in the sample if the hash of its key and text is under docs_per_lang / (texts of that
+    language). Of the byte runs counted for a language its `grams_per_lang` most frequent are kept
+    (ties by value). Every language with such a text is learned. Rows without text or language teach
+    nothing. To the driver come at most `grams_per_lang` rows for each language.
     """
-    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(F.col(key)).alias("u")).where("text is not null and lang is not null and text != ''")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    rates = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in sizes.collect()}
-    if not rates:
+    ship(docs.sparkSession)
+    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(F.col(key), F.col(text)).alias("u")).where("text is not null and lang is not null and text != ''")
+    rates = known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("rate"))
+    sample = known.join(F.broadcast(rates), "lang").where(F.col("u") < F.col("rate"))  # one row for each language
+    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    found = counted.withColumn("place", place).where(F.col("place") <= grams_per_lang).select("lang", "gram", "n").toArrow()
+    if not found.num_rows:
         return ContextTrees([], *(np.zeros(0, np.int64) for _ in range(3)))
-    wanted = None
-    for name, rate in rates.items():
-        one = (F.col("lang") == name) & (F.col("u") < rate)
-        wanted = one if wanted is None else wanted | one
-    grams = known.where(wanted).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    found = grams.toArrow()
-    langs = sorted(rates)
-    index = {x: i for i, x in enumerate(langs)}
-    lang_id = np.array([index[x] for x in found.column("lang").to_pylist()], np.int64)
-    return ContextTrees(langs, lang_id, found.column("gram").to_numpy(), found.column("n").to_numpy())
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    order = np.array([langs.index(x) for x in names], np.int64)
+    return ContextTrees(langs, order[coded.indices.to_numpy()], found.column("gram").to_numpy(), found.column("n").to_numpy())
 
 
 def predict(docs: DataFrame, trees: ContextTrees, *, text: str = "text") -> DataFrame:
@@ -171,6 +201,7 @@ def predict(docs: DataFrame, trees: ContextTrees, *, text: str = "text") -> Data
     or nothing was learned. Ties go to the language first in the alphabet. Columns of `docs` that
     have one of the three names are replaced.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
@@ -198,19 +229,19 @@ def predict(docs: DataFrame, trees: ContextTrees, *, text: str = "text") -> Data
 
 
 def held_out(key: str = "doc_id", rest: int = 2):
-    """Whether a row is never learned from: crc32 of the key as text, modulo 4."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == rest
+    """Whether a row is never learned from: crc32 of the key as text, modulo 4. A null key has no remainder: false."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == rest, F.lit(False))
 
 
 def identify(docs: DataFrame, *, docs_per_lang: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte of every document; learned from the rows not held out."""
-    trees = fit(docs.where(F.coalesce(~held_out(), F.lit(True))), docs_per_lang=docs_per_lang)
+    trees = fit(docs.where(~held_out()), docs_per_lang=docs_per_lang)
     out = predict(docs.select("doc_id", "text"), trees)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def keep_known(docs: DataFrame, *, least_score: float = 0.5) -> DataFrame:
     """The rows of `docs` whose language is recognised with at least that score; all columns stay."""
-    trees = fit(docs.where(F.coalesce(~held_out(), F.lit(True))))
+    trees = fit(docs.where(~held_out()))
     found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), trees)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

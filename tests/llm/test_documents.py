@@ -109,7 +109,6 @@ def test_largest_sum_is_brute_force(spark):
 
 def test_code_lengths_are_brute_force(documents):
     trees = ppm_langid.fit(documents, docs_per_lang=20)
-    classes, row3, table, size = trees.build()
     text = "Thé quick — brown fox".encode()
     counts = [Counter() for _ in trees.langs]
     for k, g, n in zip(trees.lang, trees.gram, trees.n, strict=True):
@@ -150,6 +149,23 @@ def test_texts_dont_see_each_other(documents):
         assert (together[i] == trees.code_lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]).all()
 
 
+def test_many_languages(spark):
+    rng = np.random.default_rng(6)
+    rows, spoken = [], {}
+    for k in range(150):  # each its own syllables; every tenth in a script of its own
+        first = 0x61 if k % 10 else 0x4E00 + 40 * k
+        spoken[f"l{k:03}"] = ["".join(chr(first + int(x)) for x in rng.integers(0, 20, 3)) for _ in range(12)]
+    text = lambda name: " ".join("".join(rng.choice(spoken[name], 2)) for _ in range(60))
+    for name in spoken:
+        rows += [(len(rows) + i, text(name), name) for i in range(5 if name != "l007" else 300)]
+    trees = ppm_langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_lang=5)
+    assert trees.langs == sorted(spoken)
+    _, numbers, size, built = trees.build()
+    assert sum(t[2].nbytes for t in built) < 150 * 1_500_000
+    asked = spark.createDataFrame([(i, text(name), name) for i, name in enumerate(sorted(spoken))], "doc_id long, text string, name string")
+    assert ppm_langid.predict(asked, trees).where("lang_pred = name").count() > 147
+
+
 def test_held_out_languages(spark, documents):
     found = ppm_langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id")
     right, n = found.where("held_out and lang = lang_pred").count(), found.where("held_out").count()
@@ -164,6 +180,8 @@ def test_languages_of_cases(spark, documents):
     assert [got[i]["lang_pred"] for i in (0, 1, 2, 7)] == ["und"] * 4
     assert got[4]["lang_pred"] == "en" and got[None]["lang_pred"] == "fr" and 0 < got[4]["score"] <= 1
     assert ppm_langid.identify(empty(spark)).count() == 0
+    told = ppm_langid.identify(df).collect()
+    assert len(told) == len(ROWS) and all(r["held_out"] is not None for r in told)
     assert ppm_langid.keep_known(df).columns == df.columns
 
 
@@ -281,6 +299,25 @@ def test_components_are_brute_force(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_large_keys_are_dealt_anew(spark):
+    rng = np.random.default_rng(8)
+    # one whole segment and a codeword of the next in common: a key that all rows share
+    fps = np.unique(rng.integers(0, 1 << 21, 3000, dtype=np.uint64) << np.uint64(43) | np.uint64(12345))
+    signed = fps.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(x, i) for i, x in enumerate(signed)], "fp long, node long")
+    got = {r["node"]: r["component"] for r in golay_simhash.components(golay_simhash.links(nodes, large=300)).collect()}
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    label = np.arange(len(fps))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        if (new == label).all():
+            break
+        label = new
+    assert [got.get(i, i) for i in range(len(fps))] == label.tolist()
+
+
 def test_near_duplicates_of_cases(spark):
     df = frame(spark)
     got = {r["doc_id"]: r for r in golay_simhash.near_duplicates(df).collect()}
