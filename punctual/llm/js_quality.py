@@ -4,7 +4,8 @@ Two histograms are taken of every document: its characters by class, and its wor
 word (all others counted together). Their Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1) to the reference of a language says how unusual the document is. The references
 are the mean histograms of the documents of that language that pass the base rules and are long
-enough. A document is held against every reference; the nearest one counts.
+enough; its common words are those that stand in the most of its documents. So every value of lang in
+the data has a reference. A document is held against every reference; the nearest one counts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.common import NOT_SPACE, SPACE, let, written
@@ -28,13 +29,8 @@ CLASSES = {
     "mark": r"[#*$%&|<>]+",
 }
 
-#: Frequent words by language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "nicht", "eine"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "be", "at"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
-}
+#: Common words learned for each language.
+WORDS_PER_LANG = 16
 
 REPEAT_WINDOW = 5
 
@@ -96,6 +92,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def learn_words(docs: DataFrame, *, text: str = "text", lang: str = "lang", most: int = WORDS_PER_LANG) -> dict[str, list[str]]:
+    """By language the `most` words, of those in lower case, that stand in the most of its documents; ties by word.
+
+    All documents are counted; to the driver come `most` words of each language.
+    """
+    seen = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
+    counts = seen.groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("word") == F.lower("word"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    found: dict[str, list[str]] = {}
+    for r in counts.withColumn("place", place).where(F.col("place") <= most).select("lang", "word").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return {name: sorted(words) for name, words in sorted(found.items())}
+
+
 def vocabulary(common: dict[str, list[str]]) -> list[str]:
     return sorted({w for words in common.values() for w in words})
 
@@ -103,17 +113,20 @@ def vocabulary(common: dict[str, list[str]]) -> list[str]:
 def common_words(words: Column, common: dict[str, list[str]]) -> Column:
     """Counts by common word, in lower case or with a capital, in the order of `vocabulary`; the other words last."""
     names = vocabulary(common)
+    if not names:
+        return F.array(F.size(words))
     # each common word becomes one letter of a short text, in which letters are then counted
     letters = [chr(0x4E00 + i) for i in range(len(names))]
-    forms = [*names, *(w.capitalize() for w in names)]
+    code_of = dict(zip(names, letters, strict=True))
+    code_of |= {w[0].upper() + w[1:]: x for w, x in zip(names, letters, strict=True) if w[0].upper() + w[1:] not in code_of}
 
     def counted(words: Column, code: Column) -> Column:
         n = [F.length(code) - F.length(F.replace(code, F.lit(x), F.lit(""))) for x in letters]
         return F.array(*n, F.size(words) - F.length(code))
 
     def coded(words: Column) -> Column:
-        found = F.filter(words, lambda w: w.isin(forms))
-        return F.array_join(F.transform(found, lambda w: F.get(F.lit(letters * 2), F.array_position(F.lit(forms), w).cast("int") - 1)), "")
+        found = F.filter(words, lambda w: w.isin(list(code_of)))
+        return F.array_join(F.transform(found, lambda w: F.get(F.lit(list(code_of.values())), F.array_position(F.lit(list(code_of)), w).cast("int") - 1)), "")
 
     return let(coded(words), lambda code: counted(words, code))
 
@@ -142,8 +155,9 @@ def js_distance(p: Column, p_entropy: Column, q: Column, q_entropy: Column) -> C
 def references(measured: DataFrame, common: dict[str, list[str]], *, lang: str = "lang", min_words: int = 30) -> dict[str, tuple[list[float], list[float]]]:
     """Mean shares by character class and by common word of every language in `common`, over all its rows.
 
-    Rows that fail the base rules, have under `min_words` words or over one symbol in ten words don't count. A language without
-    such rows has no reference. What comes to the driver is one row for each language.
+    Rows that fail the base rules, have under `min_words` words or over one symbol in ten words (tables
+    and markup rather than text) don't count. A language without such rows has no reference. What
+    comes to the driver is one row for each language.
     """
     sizes = {"_chars": len(CLASSES) + 1, "_common": len(vocabulary(common)) + 1}
     plain = 10 * F.col("n_symbols") <= F.col("n_words")
@@ -153,9 +167,9 @@ def references(measured: DataFrame, common: dict[str, list[str]], *, lang: str =
     return {r["lang"]: tuple([r[f"{c}_{i}"] for i in range(n)] for c, n in sizes.items()) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
-def measure(docs: DataFrame, *, common: dict[str, list[str]] | None = None, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, common: dict[str, list[str]], *, text: str = "text") -> DataFrame:
     """`docs` with the base counts, _chars and _common."""
-    return base_counts(docs, text=text).withColumn("_common", common_words(F.col("_words"), common or COMMON_WORDS))
+    return base_counts(docs, text=text).withColumn("_common", common_words(F.col("_words"), common))
 
 
 def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], *, weight: float, most: float, slack: float, min_words: int) -> DataFrame:
@@ -188,35 +202,40 @@ def judge(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]],
     )
 
 
-#: Thresholds of the query and of the pipeline's stage.
+#: Thresholds of the query and of the pipeline's stage: chosen once so that nearly all labelled good documents
+#: of the given tables stay; another corpus needs its own.
 LIMITS = {"weight": 0.5, "most": 0.22, "slack": 1.0, "min_words": 30}
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_chars", "js_common", "js_lang", "js"]
 
 
 def quality(docs: DataFrame, *, common: dict[str, list[str]] | None = None, limits: dict | None = None) -> DataFrame:
-    """One row for each document: RESULT. Null and empty texts have no words and fail the base rules."""
-    limits, common = limits or LIMITS, common or COMMON_WORDS
-    # both the references and the verdict need the counts of every document: take them once
+    """One row for each document: RESULT. Null and empty texts have no words and fail the base rules.
+
+    Rows that repeat an id are judged each; a null lang teaches nothing and is judged like others.
+    `common` has common words by language if they aren't to be learned.
+    """
+    limits = limits or LIMITS
     own = docs.select("doc_id", "text", "lang")
-    counted = written(measure(own, common=common).drop("text", "_words"), "quality-counts")
+    common = learn_words(own) if common is None else common
+    # both the references and the verdict need the counts of every document: take them once
+    counted = written(measure(own, common).drop("text", "_words"), "quality-counts")
     refs = references(counted, common, min_words=limits["min_words"])
     return judge(counted, refs, **limits).select(*RESULT)
 
 
 def keep_good(docs: DataFrame, *, common: dict[str, list[str]] | None = None, limits: dict | None = None) -> DataFrame:
     """The rows of `docs` whose verdict is to keep them; all columns stay. Verdicts go by the row, not by its doc_id."""
-    limits, common = limits or LIMITS, common or COMMON_WORDS
+    limits = limits or LIMITS
+    common = learn_words(docs) if common is None else common
     row = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
-    counted = written(measure(row, common=common).drop("text", "_words"), "quality-rows")
+    counted = written(measure(row, common).drop("text", "_words"), "quality-rows")
     refs = references(counted, common, min_words=limits["min_words"])
     return judge(counted, refs, **limits).where("kept").select("_row.*")
 
 
-def sql(common: dict[str, list[str]] | None = None, limits: dict | None = None) -> str:
+def sql(limits: dict | None = None, most: int = WORDS_PER_LANG) -> str:
     """`quality` over all documents as DuckDB SQL, distances rounded to 6 places."""
-    common, x = common or COMMON_WORDS, limits or LIMITS
-    names = vocabulary(common)
-    quoted = ", ".join(f"('{w}')" for w in names)
+    x = limits or LIMITS
     text = lambda p: p.replace("'", "''")
     counts = ", ".join(f"length(t) - length(regexp_replace(t, '{text(p)}', '', 'g')) AS c_{n}" for n, p in CLASSES.items() if n != "other_letter")
     rest = " - ".join(f"c_{n}" for n in CLASSES if n not in ("other_letter",))
@@ -233,13 +252,15 @@ c0 AS (SELECT m, length(t) AS n, length(t) - length(regexp_replace(t, '\p{{L}}',
 c AS MATERIALIZED (SELECT *, letters - c_lower - c_upper AS c_other_letter, n - letters + c_lower + c_upper - ({rest.replace(" - ", " + ")}) AS c_rest FROM c0),
 base AS MATERIALIZED (SELECT d.m, doc_id, lang, len(ws)::bigint AS n_words, c.n - c_space AS word_chars, c_mark AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
   (len(ws) < 10 OR 100 * coalesce(again.n, 0) > 20 * len(ws)) AS base_failed FROM d JOIN w USING (m) JOIN c USING (m) LEFT JOIN line USING (m) LEFT JOIN again USING (m)),
-v(w) AS (VALUES {quoted}),
-said AS (SELECT m, v.w, count(*) AS n FROM word JOIN v ON word.w = v.w OR word.w = upper(v.w[1]) || v.w[2:] GROUP BY ALL),
+df AS (SELECT lang, w, count(DISTINCT m) AS n FROM word JOIN d USING (m) WHERE lang IS NOT NULL AND w = lower(w) GROUP BY lang, w),
+v AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT lang, w FROM df QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {most})),
+form AS (SELECT w AS f, w FROM v UNION ALL SELECT upper(w[1]) || w[2:], w FROM v WHERE upper(w[1]) || w[2:] NOT IN (SELECT w FROM v)),
+said AS (SELECT m, form.w, count(*) AS n FROM word JOIN form ON word.w = form.f GROUP BY ALL),
 other AS (SELECT m, '' AS w, n_words - coalesce(sum(n), 0) AS n FROM base LEFT JOIN said USING (m) GROUP BY m, n_words),
 h AS (SELECT m, 'common' AS kind, w AS bin, n FROM said UNION ALL SELECT m, 'common', w, n FROM other UNION ALL
   SELECT m, 'chars', b.bin, b.n FROM c, LATERAL (VALUES {bins}, ('rest', c_rest)) AS b(bin, n)),
 share AS MATERIALIZED (SELECT m, kind, bin, n / nullif(sum(n) OVER (PARTITION BY m, kind), 0) AS p FROM h),
-good AS (SELECT m, lang FROM base WHERE lang IN ({", ".join(f"'{n}'" for n in common)}) AND NOT base_failed AND 10 * n_symbols <= n_words AND n_words >= {x["min_words"]}),
+good AS (SELECT m, lang FROM base WHERE lang IN (SELECT lang FROM df) AND NOT base_failed AND 10 * n_symbols <= n_words AND n_words >= {x["min_words"]}),
 size AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
 ref AS MATERIALIZED (SELECT lang, kind, bin, sum(p) / any_value(size.n) AS q FROM share JOIN good USING (m) JOIN size USING (lang) GROUP BY lang, kind, bin),
 mixed AS (SELECT m, lang, kind, bin, p, 0::double AS q FROM share, size WHERE p IS NOT NULL UNION ALL SELECT m, lang, kind, bin, 0, q FROM ref, (SELECT DISTINCT m FROM share WHERE p IS NOT NULL)),
