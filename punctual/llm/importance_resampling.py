@@ -90,7 +90,7 @@ def log_ratios(models: DataFrame, *, buckets: int = BUCKETS, smoothing: float =
 
 
 def weights(docs: DataFrame, ratios: np.ndarray, *, text: str = "text", key: str = "doc_id", n: int = N) -> DataFrame:
-    """key, log_weight, n_grams of every row; both 0 for null texts and those without an n-gram."""
+    """key, log_weight, n_grams and _text_hash of every row; the first two 0 for null texts and those without an n-gram."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.arrow_udf("struct<log_weight: double, n_grams: bigint>")
@@ -104,7 +104,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, *, text: str = "text", key: str
                 out[row : row + len(first)] = (sums[np.minimum(past, len(sums) - 1)] - sums[np.minimum(first, len(sums) - 1)]) / UNIT
         return pa.StructArray.from_arrays([pa.array(out), pa.array(many)], ["log_weight", "n_grams"])
 
-    return docs.select(F.col(key), weigh(F.col(text)).alias("_w")).select(key, "_w.log_weight", "_w.n_grams")
+    return docs.select(F.col(key), F.xxhash64(text).alias("_text_hash"), weigh(F.col(text)).alias("_w")).select(key, "_w.log_weight", "_w.n_grams", "_text_hash")
 
 
 def kth_largest(scores: DataFrame, column: str, k: int, *, digit_bits: int = 12) -> int | None:
@@ -134,16 +134,17 @@ def _ordered(score: Column) -> Column:
     return F.floor(scaled).cast("long") + F.lit(1 << 61)
 
 
-def gumbel(key: Column, seed: int) -> Column:
-    """Standard Gumbel noise, the same for the same key in every run."""
-    return -F.log(-F.log(unit_hash(key, F.lit(seed))))
+def gumbel(seed: int, *keys: str) -> Column:
+    """Standard Gumbel noise, the same for the same keys in every run."""
+    return -F.log(-F.log(unit_hash(*keys, F.lit(seed))))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, most_target: int = 4000, passage: int = 200, share: float | None = None, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, most_target: int = 4000, passage: int | None = None, share: float | None = None, seed: int = 7) -> DataFrame:
     """doc_id, log_weight, n_grams, score, kept of every document.
 
-    A long document's whole weight is driven by its length, so the score is the weight of a passage
-    of `passage` n-grams, log_weight * passage / n_grams, plus noise.
+    The score is log_weight plus noise, so the k largest are a sample without replacement in
+    proportion to p_target / p_raw. With `passage` it is the weight of a passage of so many n-grams,
+    log_weight * passage / n_grams, plus noise: then length doesn't count.
 
     The target model learns from at most `most_target` whole documents labelled good (those with the
     least hashes of their ids), the raw model from all documents. `share` of all rows is kept, if not
@@ -157,8 +158,8 @@ def resample(docs: DataFrame, labels: DataFrame, *, most_target: int = 4000, pas
     ratios = log_ratios(count_models(marked, F.col("_id").isNotNull()))
     if share is None:
         share = labels.agg(F.avg(F.when(F.col("quality").isNotNull(), (F.col("quality") == 1).cast("double")))).first()[0]
-    found = weights(docs.select("doc_id", "text"), ratios).withColumn("score", F.col("log_weight") * passage / F.greatest(F.col("n_grams"), F.lit(1)) + gumbel(F.coalesce(F.col("doc_id"), F.lit(-1)), seed))
-    found = written(found, "weights")
+    found = weights(docs.select("doc_id", "text"), ratios).withColumn("score", (F.col("log_weight") if passage is None else F.col("log_weight") * passage / F.greatest(F.col("n_grams"), F.lit(1))) + gumbel(seed, "doc_id", "_text_hash"))
+    found = written(found.drop("_text_hash"), "weights")
     k = round((1.0 if share is None else share) * found.count())
     least = kth_largest(found, "score", k) if k else None
     kept = F.lit(False) if least is None else _ordered(F.col("score")) >= least
