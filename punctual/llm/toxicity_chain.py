@@ -5,7 +5,9 @@ marker words, three figures of its writing and the probabilities of the categori
 a later model is trained, earlier probabilities are out of fold: a row's come from a model that was
 fitted without its fold. Marker words are those whose presence tells most about some category.
 
-The labels at hand name two categories, low quality and toxic; the chain takes any list of them.
+The labels at hand tell no kinds of toxicity, only toxic or not. So the chain of the query has two
+links, low quality (whose probability the second one sees) and toxic; the first is no toxicity
+category, and the chain shows its worth only with labels for several. It takes any list of them.
 """
 
 from __future__ import annotations
@@ -18,16 +20,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import unit_hash, written
+from punctual.llm.common import let, unit_hash, written
 
 #: Category by name, as a condition on the labels.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 FIGURES = ["capitals", "marks", "length"]
+#: Lengths of the beginnings of words that count like words.
+STEMS = (3, 5, 7)
 
 
 def words_of(text: Column) -> Column:
-    """The different words of letters of a text, in lower case."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), ""))
+    """The different words of letters of a text in lower case, and the beginnings of STEMS letters of longer ones, with a mark: derived forms share these."""
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), ""))
+
+    def stems(words: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-"))))
+
+    return let(words, lambda w: F.concat(w, *[stems(w, n) for n in STEMS]))
 
 
 def figures(text: Column) -> list[Column]:
@@ -38,7 +47,7 @@ def figures(text: Column) -> list[Column]:
 
 
 def choose_words(train: DataFrame, categories: list[str], *, most: int = 1500, least_docs: int = 3) -> list[str]:
-    """The words with the largest chi-square against any category, at most `most`; ties by word."""
+    """The vocabulary of the models, `most` words at most: those with the largest chi-square against any category, ties by word."""
     totals = train.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     n = totals["n"] or 0
     seen = train.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in categories])
@@ -124,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] = CATE
 def predict(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_<category> for each category, and a boolean for each, true from `threshold` on.
 
-    Null and empty texts have no words and are judged by that.
+    Null and empty texts have no words and are judged by that. Repeated rows have equal results, a
+    null id is carried along, other columns are ignored; a probability of just `threshold` counts as true.
     """
     own = docs.select("doc_id", *figures(F.col("text")), words_of(F.col("text")).alias("_all"))
     now = chain.features(own, F.col("_all")).drop("_all")
