@@ -25,10 +25,10 @@ def init_ranks(edges: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(ids.agg(F.count("*").alias("_n")))).select("id", (1 / F.col("_n")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, tolerance: float | None = None, every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, tolerance: float | None = None) -> DataFrame:
     """id, rank: teleport `alpha`, the mass of dangling nodes spread over all, edges followed by weight.
 
-    Lineage is cut every few rounds. With a tolerance it stops once the ranks' changes sum to less.
+    Each round is cut from the lineage of the one before, as it is used more than once. With a tolerance it stops once the ranks' changes sum to less.
     """
     links = edges.where("dst is not null").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = links.groupBy("src").agg(F.sum("weight").alias("_sum"))
@@ -36,13 +36,12 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, toleranc
     out = links.select(F.col("src").alias("id")).distinct().withColumn("_out", F.lit(True))
     ranks = checkpointed(init_ranks(edges).join(out, "id", "left"))
     n = ranks.count()
-    for i in range(1, iters + 1):
+    for _ in range(iters):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("rank"))), F.lit(0.0)).alias("_lost"))
         came = ranks.join(links, ranks["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("part")).alias("_in"))
         rank = alpha / n + (1 - alpha) * (F.col("_lost") / n + F.coalesce("_in", F.lit(0.0)))
         new = ranks.join(came, "id", "left").join(F.broadcast(lost)).select("id", rank.alias("rank"), "_out", F.col("rank").alias("_old"))
-        if tolerance is not None or i % every == 0:
-            new = checkpointed(new)
+        new = checkpointed(new)
         if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0) < tolerance:
             return new.select("id", "rank")
         ranks = new.drop("_old")

@@ -120,13 +120,17 @@ def share_of_total(df: DataFrame, value: str) -> DataFrame:
 def prior_event_band(df: DataFrame, key: str, ts: str, value: str, *, lo: int = 8100, hi: int = 86400) -> DataFrame:
     """`df` with prior_value and prior_gap of the latest earlier row of the key whose gap is over lo and under hi seconds.
 
-    A window over a range of seconds; no row meets another. Rows with a null key or time have no prior row.
+    A window over a range of seconds; no row meets another. A key's rows are dealt to spans of `hi`
+    seconds, each row also to the span after its own, so that long histories are split. Rows with a null key or time have no prior row.
     """
     known = df.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(-(hi - 1), -(lo + 1))
+    w = Window.partitionBy(key, "_span.b").orderBy("_s").rangeBetween(-(hi - 1), -(lo + 1))
     last = F.max(F.struct("_s", value)).over(w)
     usable = F.col(key).isNotNull() & F.col("_s").isNotNull()
-    found = known.where(usable).withColumn("_p", last).withColumns({"prior_value": F.col(f"_p.{value}"), "prior_gap": F.col("_s") - F.col("_p._s")})
+    span = F.floor(F.col("_s") / hi)
+    spans = F.explode(F.array(F.struct(span.alias("b"), F.lit(True).alias("own")), F.struct((span + 1).alias("b"), F.lit(False).alias("own"))))
+    dealt = known.where(usable).withColumn("_span", spans)
+    found = dealt.withColumn("_p", last).where("_span.own").drop("_span").withColumns({"prior_value": F.col(f"_p.{value}"), "prior_gap": F.col("_s") - F.col("_p._s")})
     rest = known.where(~usable).withColumns({"prior_value": F.lit(None).cast(df.schema[value].dataType), "prior_gap": F.lit(None).cast("long")})
     return found.drop("_p").unionByName(rest).drop("_s")
 

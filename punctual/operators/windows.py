@@ -13,9 +13,11 @@ def prior_flag(df: DataFrame, key: str, ts: str, label: str, *, tie: str | None
 
     Rows with a null key go round the window, so they neither gather in one task nor follow each other.
     """
-    day = F.to_date(ts) if day is None else day
+    by_day = day is None
+    day = F.to_date(ts) if by_day else day
     known = df.where(F.col(key).isNotNull()).withColumn("_day", day)
-    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
+    # a day of the row's own time holds all that may count, so that long histories are split by day
+    w = Window.partitionBy(key, *(["_day"] if by_day else [])).orderBy(ts, *([tie] if tie else []))
     before = F.lag(F.struct(F.col(ts).alias("t"), F.col(label).alias("l"), F.col("_day").alias("d"))).over(w)
     old = known.withColumn("_b", before)
     fits = (seconds_between(F.col("_b.t"), F.col(ts)) > min_gap_s) & (F.col("_b.d") == F.col("_day"))

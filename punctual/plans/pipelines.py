@@ -60,7 +60,9 @@ def build_weather(raw: DataFrame) -> DataFrame:
 
 def build_joined(flights: DataFrame, airports: DataFrame, weather: DataFrame, *, date: str = "FL_DATE", clock: str = "CRS_DEP_TIME", origin: str = "ORIGIN", dest: str = "DEST", key: list[str]) -> DataFrame:
     """Flights, once for each `key`, with both airports, departure in UTC, and both stations' readings known two hours before."""
-    once = flights.dropDuplicates(key)
+    others = [c for c in flights.columns if c not in key]
+    # of several rows with one key the least: the same in every run
+    once = flights.groupBy(*key).agg(F.min(F.struct(*others)).alias("_least")).select(*key, "_least.*") if others else flights.distinct()
     local = once.withColumn("local_ts", timeops.local_ts(F.col(date), F.col(clock)))
     placed = joins.join_roles(local, airports, {"origin": origin, "dest": dest}, "id")
     utc = placed.withColumn("utc_ts", timeops.to_utc(F.col("local_ts"), F.col("origin_zone")))

@@ -13,10 +13,17 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], *, mode: str = "overwrite", files_per_key: int = 1, rows_per_file: int = 5_000_000) -> None:
-    """Hive partitions with few files each. A key is dealt to `files_per_key` tasks, so a hot key needn't be one task's."""
-    salt = [F.floor(F.rand(0) * files_per_key)] if files_per_key > 1 else []
-    df.repartition(*by, *salt).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: list[str], *, mode: str = "overwrite", files_per_key: int | None = None, rows_per_file: int = 5_000_000) -> None:
+    """Hive partitions with few files each.
+
+    Rows are rebalanced by key, and adaptive execution splits the keys that are too large for one
+    task. With `files_per_key` each key is dealt to so many tasks instead, by the hash of its row.
+    """
+    if files_per_key is None:
+        dealt = df.hint("rebalance", *by)
+    else:
+        dealt = df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key)))
+    dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 
 def append_partitioned(df: DataFrame, path: str, by: list[str], **options: int) -> None:
@@ -67,16 +74,36 @@ def cached(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+@contextmanager
+def cached_view(df: DataFrame, name: str) -> Iterator[None]:
+    """`df` as the temporary view `name` while the block runs, kept once it has been read."""
+    df.createOrReplaceTempView(name)
+    df.sparkSession.sql(f"CACHE LAZY TABLE {name}")
+    try:
+        yield
+    finally:
+        df.sparkSession.catalog.uncacheTable(name)
+        df.sparkSession.catalog.dropTempView(name)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """Use the folder that spark.checkpoint.dir names; a temporary one only where none is set, and only on one machine."""
     import tempfile
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="punctual-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `checkpoint_folder`, where tables may be written that are read again."""
+    checkpoint_folder(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of `df` without its lineage, in the shared checkpoint folder."""
     checkpoint_folder(df.sparkSession)
