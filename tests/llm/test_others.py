@@ -35,20 +35,43 @@ def test_quotes(spark):
     rows = quote_linking.link(df).collect()
     assert len(rows) == len(MESSAGES)
     got = {(r["conv_id"], r["turn"]): r for r in rows}
-    assert [got[1, k]["parent_turn"] for k in range(9)] == [None, 0, 1, 0, None, None, None, None, None]
-    assert [got[1, k]["thread_turn"] for k in range(9)] == [0, 0, 0, 0, 4, 5, 6, 7, 8]
+    assert [got[1, k]["parent_turn"] for k in range(9)] == [None, 0, 1, 0, None, None, None, 2, None]
+    assert [got[1, k]["thread_turn"] for k in range(9)] == [0, 0, 0, 0, 4, 5, 6, 0, 8]
+    assert [got[1, k]["reply_position"] for k in range(9)] == [0, 1, 2, 4, 0, 0, 0, 3, 0]
     assert got[1, 2]["body"] == "I disagree." and got[1, 2]["n_passages"] == 2
     assert got[1, 5]["body"] == "" and not any(">" in r["body"] for r in rows)
     assert quote_linking.link(df.limit(0)).count() == 0
 
 
-def test_quotes_are_their_sql(spark):
+def quoting_table():
+    """Conversations whose messages quote whole messages, lines, sentences and quotes of others, some far back, some said often."""
+    rng, rows = np.random.default_rng(12), []
+    common = ["ok", "Thanks a lot.", "I see. Go on."]
+    for conv in range(30):
+        said = []
+        for turn in [*range(int(rng.integers(2, 40))), *((1500, 1501, 4000) if conv % 3 == 0 else ())]:
+            own = common[int(rng.integers(3))] if rng.random() < 0.3 else f"Message {turn} of {conv}. It has {rng.integers(99)} words!\nAnd a line {turn * 7 % 5}.\n\nAnother paragraph {rng.integers(9)}."
+            quoted = []
+            for _ in range(int(rng.integers(0, 3)) if said else 0):
+                other = said[int(rng.integers(len(said)))]
+                part = other.split("\n") if rng.random() < 0.5 else [other.split(". ")[0] + ("." if ". " in other else "")]
+                mark = "> " if rng.random() < 0.6 else ">> " if rng.random() < 0.7 else "> > > "
+                quoted += ["Bob wrote:"] * (rng.random() < 0.3) + [mark + x for x in part] + [""] * (rng.random() < 0.5)
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join([*quoted, own])))
+    return rows + rows[5:9]
+
+
+@pytest.mark.parametrize("rows", [MESSAGES, quoting_table()], ids=["cases", "table"])
+def test_quotes_are_their_sql(spark, rows):
     import duckdb
 
-    df = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     c = duckdb.connect()
     c.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(m) for m in MESSAGES])
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(m) for m in rows])
+    if rows is not MESSAGES:
+        assert quote_linking.link(df).where("parent_turn is not null and reply_position > 2").count() > 30
     found = c.sql(quote_linking.SQL)
     names = [d[0] for d in found.description]
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in quote_linking.link(df).select(*names).collect())
