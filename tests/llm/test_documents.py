@@ -84,6 +84,15 @@ def test_kind_is_read_from_the_model():
     assert sentencepiece_lattice.model_kind(MODEL) == "bpe"
 
 
+def test_ids_that_stand_for_nothing_decode_to_null(spark):
+    from punctual.llm.sentencepiece_lattice import Model, Piece, decode_units
+
+    model = Model("unigram", [Piece("▁a", 3, 0.0, 0, [], []), Piece("b", 5, 0.0, 0, [], [])], 10, 2)
+    rows = [("text", [3, 5]), ("bytes", [10 + 0xC3, 10 + 0xA9]), ("none", []), ("gap", [3, 4]), ("past", [5, 9999]), ("null", [5, None])]
+    got = {r["key"]: r["decoded"] for r in decode_units(spark.createDataFrame(rows, "key string, ids array<int>"), model).collect()}
+    assert got == {"text": " ab", "bytes": "é", "none": "", "gap": None, "past": None, "null": None}
+
+
 def test_largest_sum_is_brute_force(spark):
     from punctual.llm.sentencepiece_lattice import Model, Piece, encode_units
 
