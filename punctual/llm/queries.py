@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, toxicity_chain, url_digest
+from punctual.llm import bin_completion, collocations, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, toxicity_chain, url_digest
 from punctual.llm.common import ship, table
 
 
@@ -58,6 +58,11 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language of all documents; see `collocations`."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sentencepiece_lattice,
@@ -70,9 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bin_completion_packing,
         op9_permutation_index,
         op10_toxicity_chain,
+        op11_phrase_collocations,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_js_quality_rules": js_quality.sql(), "op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL}
+    return {"op3_js_quality_rules": js_quality.sql(), "op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL, "op11_phrase_collocations": collocations.SQL}
