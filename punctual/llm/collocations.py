@@ -276,8 +276,8 @@ def collocations(docs: DataFrame, *, least: int = LEAST, shadow: int = SHADOW, t
 #: The same in SQL, by counting every phrase.
 SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-s AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM s, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+s AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM s, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(a)::bigint AS n FROM f WHERE k = 1 GROUP BY ALL),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
@@ -285,7 +285,7 @@ cut AS (SELECT *, unnest(range(1, k)) AS first FROM c),
 parted AS (SELECT cut.lang, cut.phrase, cut.a, first, l.a AS l, r.a AS r, (2000000::hugeint * cut.a // (l.a + r.a))::bigint AS score FROM cut
   JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:first], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[first + 1:], ' ')),
 best AS (SELECT * FROM parted QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, first) = 1),
-inside AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), m -> list_transform(range(1, k - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM c WHERE k > 2),
+inside AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM c WHERE k > 2),
 longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM best LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang) WHERE coalesce(100 * most < 80 * a, true) QUALIFY rank <= 2000
