@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import bin_completion, collocations, conversation_trie, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, toxicity_chain, url_digest
+from punctual.llm import bin_completion, collocations, conversation_trie, golay_simhash, importance_resampling, js_quality, permutation_ann, ppm_langid, quote_linking, sentencepiece_lattice, suffix_dedup, toxicity_chain, url_digest
 from punctual.llm.common import ship, table
 
 
@@ -63,6 +63,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document after all repeated strings of 200 bytes are removed; see `suffix_dedup`."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations; see `conversation_trie`."""
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
@@ -81,10 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_permutation_index,
         op10_toxicity_chain,
         op11_phrase_collocations,
+        op12_suffix_array_dedup,
         op13_conversation_trie,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_js_quality_rules": js_quality.sql(), "op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL, "op11_phrase_collocations": collocations.SQL, "op13_conversation_trie": conversation_trie.SQL}
+    return {"op3_js_quality_rules": js_quality.sql(), "op5_quotation_linking": quote_linking.SQL, "op6_url_digest_filter": url_digest.SQL, "op11_phrase_collocations": collocations.SQL, "op12_suffix_array_dedup": suffix_dedup.SQL, "op13_conversation_trie": conversation_trie.SQL}
