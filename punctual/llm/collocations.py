@@ -39,7 +39,9 @@ UNKNOWN = "und"
 #: Fixed values of the contract: letters that are lowered, and the bytes that end a piece.
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 #: Characters of text that are counted at once in a task.
-CHUNK = 24 << 20
+CHUNK = 2 << 20
+#: Rows of a batch that goes back to Spark.
+ROWS = 20_000
 COUNTED = "lang string, phrase string, size int, n long"
 
 
@@ -61,7 +63,11 @@ class Words:
     def hashes(self) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(f"{self.lang}\0{w}") for w in self.names.to_pylist()], np.uint64)
 
-    def row(self, ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    def rows(self, ids: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(n), ROWS):
+            yield self._row([x[s : s + ROWS] for x in ids], n[s : s + ROWS])
+
+    def _row(self, ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         words = [self.names.take(pa.array(x)) for x in ids]
         phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", words[0].type)) if len(words) > 1 else words[0]
         m = len(n)
@@ -76,14 +82,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if text:
+        for lang, value in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            if text := value.as_py():
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text)
                 if sum(size.values()) > CHUNK:
                     most = max(size, key=size.get)
                     yield Words(most, held.pop(most))
                     del size[most]
+                    pa.default_memory_pool().release_unused()
     for lang, texts in held.items():
         yield Words(lang, texts)
 
@@ -95,7 +102,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for words in _chunks(batches):
         n = np.bincount(words.codes, minlength=len(words.names))
-        yield words.row([np.arange(len(n))], n)
+        yield from words.rows([np.arange(len(n))], n)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], singles) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], singles) -> Iterator[pa.RecordBatc
         often = singles.value.may_hold(words.hashes())[words.codes]
         at = np.flatnonzero(words.same & often[:-1] & often[1:])
         keys, _, n = _distinct(words.codes[at] << 32 | words.codes[at + 1])
-        yield words.row([keys >> 32, keys & 0xFFFFFFFF], n)
+        yield from words.rows([keys >> 32, keys & 0xFFFFFFFF], n)
 
 
 def _longer(batches: Iterator[pa.RecordBatch], singles, pairs) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,7 @@ def _longer(batches: Iterator[pa.RecordBatch], singles, pairs) -> Iterator[pa.Re
             at = np.flatnonzero((id_at[: len(codes)] >= 0) & (pair_at[size - 2 : size - 2 + len(codes)] >= 0))
             keys, which, n = _distinct(id_at[at] << 32 | codes[at + size - 1])
             ids = [x[keys >> 32] for x in ids] + [keys & 0xFFFFFFFF]
-            yield words.row(ids, n)
+            yield from words.rows(ids, n)
             id_at[:] = -1
             id_at[at] = which
 
