@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,13 @@ def folds(df: DataFrame, kind: str, date: str, first_year: int = 2015, last_year
     return {f.name: dated.withColumn("cv", _side(f)).where("cv is not null").drop("y", "q") for f in fold_specs(kind, first_year, last_year)}
 
 
+def predicates(kind: str, date: str, first_year: int = 2015, last_year: int = 2018) -> list[list[str]]:
+    """[name, training condition, testing condition] of each fold, on the column `date` of one frame."""
+    within = f"year(`{date}`) BETWEEN {first_year} AND {last_year}"
+    said = lambda c: f"{within} AND {re.sub(r'\b[yq]\b', lambda m: {'y': f'year(`{date}`)', 'q': f'quarter(`{date}`)'}[m[0]], c)}"
+    return [[f.name, said(f.train), said(f.test)] for f in fold_specs(kind, first_year, last_year)]
+
+
 def _side(f: Fold) -> Column:
     return F.when(F.expr(f.train), "train").when(F.expr(f.test), "test")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.formulas import prf, ratio, weighted_prf
+from punctual.operators.prefix import running_totals
 
 CELLS = ["tp", "tn", "fp", "fn"]
 
@@ -64,6 +65,30 @@ def curves(df: DataFrame, label: str, prob: str, bins: int = 100, beta: float =
     return scores(counts, beta)
 
 
+def exact_curves(df: DataFrame, label: str, prob: str, beta: float = 0.5) -> DataFrame:
+    """threshold, confusion counts and scores at every different score, without bins.
+
+    Rows are counted by score, then summed up from the highest score down over ranges of scores. Null scores are left out;
+    labels other than 0 and 1 count as neither.
+    """
+    counted = df.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("yes"), F.count_if(F.col(label) == 0).alias("no"))
+    ran = running_totals(counted, [F.desc("threshold")], {"tp": "yes", "fp": "no"})
+    all_ = ran.agg(F.max("tp").alias("_yes"), F.max("fp").alias("_no"))
+    counts = ran.join(F.broadcast(all_)).select("threshold", "tp", (F.col("_no") - F.col("fp")).alias("tn"), "fp", (F.col("_yes") - F.col("tp")).alias("fn"))
+    return scores(counts, beta)
+
+
+def area_under_roc(df: DataFrame, label: str, prob: str) -> DataFrame:
+    """auc: the share of pairs of a row of class 1 and one of class 0 in which the first scores higher; equal scores count half.
+
+    Exact: each score's rows of class 1 meet all rows of class 0 below it, which running totals give.
+    """
+    counted = df.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("yes"), F.count_if(F.col(label) == 0).alias("no"))
+    ran = running_totals(counted, [F.asc("threshold")], {"upto": "no"})
+    pairs = F.sum(F.col("yes").cast("double") * (F.col("upto") - F.col("no") / 2))
+    return ran.agg(F.try_divide(pairs, F.sum("yes").cast("double") * F.sum("no")).alias("auc"))
+
+
 def best_threshold(curve: DataFrame, by: str = "fbeta") -> DataFrame:
     """threshold and value of the largest score; of equal ones the higher threshold."""
     return curve.agg(F.max(F.struct(by, "threshold")).alias("m")).select("m.threshold", F.col(f"m.{by}").alias(by))

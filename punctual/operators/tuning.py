@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasCollectSubModels, HasLabelCol, HasParallelism, HasPredictionCol
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MetaAlgorithmReadWrite, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,36 +20,167 @@ from punctual.operators.windows import latest_per
 from punctual.sources.sinks import append_log, cached
 
 
-class TemporalCrossValidator:
+class ConstantClassifier(Estimator, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Always predicts `constant`: the baseline that any classifier must beat. It learns nothing."""
+
+    constant = Param(Params._dummy(), "constant", "what is predicted", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, labelCol: str = "label", predictionCol: str = "prediction", constant: float = 1.0):
+        super().__init__()
+        self._setDefault(constant=1.0)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> ConstantModel:
+        return ConstantModel(predictionCol=self.getPredictionCol(), constant=self.getOrDefault(self.constant))
+
+
+class ConstantModel(Model, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    constant = Param(Params._dummy(), "constant", "what is predicted", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, predictionCol: str = "prediction", constant: float = 1.0):
+        super().__init__()
+        self._setDefault(constant=1.0)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getPredictionCol(), F.lit(self.getOrDefault(self.constant)))
+
+
+def _settings_out(grid: list[dict]) -> list[list[dict]]:
+    return [[{"parent": p.parent, "name": p.name, "value": v} for p, v in setting.items()] for setting in grid]
+
+
+def _settings_in(told: list[list[dict]], estimator: Estimator) -> list[dict]:
+    """The settings of an estimator that was read again; its stages have the ids they were written with."""
+    stages = MetaAlgorithmReadWrite.getUidMap(estimator)
+    return [{stages[x["parent"]].getParam(x["name"]): x["value"] for x in setting} for setting in told]
+
+
+class TemporalCrossValidator(Estimator, HasParallelism, HasCollectSubModels, MLReadable, MLWritable):
     """Fits every setting on each fold's train rows, scores it on the test rows, and refits the best.
 
-    refit: "last" fits on the last fold's training rows, "all" on those of every fold.
+    `folds` are [name, condition of training rows, condition of testing rows] on the columns of the frame that is
+    fitted, such as `folds.predicates` gives; then it is a stage like any other, also inside a Pipeline. Or `fit` takes frames by name that
+    have a column cv (train or test). refit: "last" fits on the last fold's training rows, "all" on those of every fold.
+    A fold without rows on either side can't be fitted and raises what the estimator raises.
     """
 
-    def __init__(self, estimator: Estimator, grid: list[dict], evaluator: Evaluator, *, parallelism: int = 4, refit: str = "last"):
-        self.estimator, self.grid, self.evaluator, self.parallelism, self.refit = estimator, grid, evaluator, parallelism, refit
-
-    def fit(self, folds: dict[str, DataFrame]) -> CrossValidatorModel:
-        totals = [0.0] * len(self.grid)
-        for fold in folds.values():
-            with cached(fold.where("cv = 'train'")) as train, cached(fold.where("cv = 'test'")) as test, ThreadPoolExecutor(self.parallelism) as pool:
+    folds = Param(Params._dummy(), "folds", "name, training and testing condition of every fold", TypeConverters.identity)
+    refit = Param(Params._dummy(), "refit", "last or all", TypeConverters.toString)
+
+    def __init__(self, estimator: Estimator | None = None, grid: list[dict] | None = None, evaluator: Evaluator | None = None, *, folds: list[list[str]] | None = None, parallelism: int = 4, refit: str = "last", collectSubModels: bool = False):
+        super().__init__()
+        self.estimator, self.grid, self.evaluator = estimator, grid, evaluator
+        self._setDefault(parallelism=1, collectSubModels=False, refit="last", folds=[])
+        if refit not in ("last", "all"):
+            raise ValueError(f"no such refit: {refit}")
+        self._set(parallelism=parallelism, refit=refit, collectSubModels=collectSubModels, folds=[list(f) for f in folds or []])
+
+    def copy(self, extra: dict | None = None) -> TemporalCrossValidator:
+        out = super().copy(extra)
+        out.estimator, out.evaluator = self.estimator.copy(extra), self.evaluator.copy(extra)
+        return out
+
+    def _sides(self, data) -> list[tuple[DataFrame, DataFrame]]:
+        if isinstance(data, dict):
+            return [(f.where("cv = 'train'"), f.where("cv = 'test'")) for f in data.values()]
+        return [(data.where(a), data.where(b)) for _, a, b in self.getOrDefault(self.folds)]
+
+    def _all_training(self, data) -> DataFrame:
+        if not isinstance(data, dict):
+            return data.where(" OR ".join(f"({a})" for _, a, _ in self.getOrDefault(self.folds)))
+        parts = [f.where("cv = 'train'") for f in data.values()]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.distinct()
+
+    def _fit(self, dataset) -> TemporalCrossValidatorModel:
+        sides, keep = self._sides(dataset), self.getOrDefault(self.collectSubModels)
+        if not sides:
+            raise ValueError("no folds")
+        totals, kept = [0.0] * len(self.grid), []
+        for train, test in sides:
+            with cached(train) as train, cached(test) as test, ThreadPoolExecutor(self.getParallelism()) as pool:
 
                 def score(setting, train=train, test=test):
-                    return self.evaluator.evaluate(self.estimator.fit(train, setting).transform(test))
+                    model = self.estimator.fit(train, setting)
+                    return self.evaluator.evaluate(model.transform(test)), model if keep else None
 
-                for i, x in enumerate(pool.map(inheritable_thread_target(train.sparkSession)(score), self.grid)):
-                    totals[i] += x / len(folds)
+                got = list(pool.map(inheritable_thread_target(train.sparkSession)(score), self.grid))
+            totals = [a + x / len(sides) for a, (x, _) in zip(totals, got, strict=True)]
+            kept.append([m for _, m in got])
         best = (max if self.evaluator.isLargerBetter() else min)(range(len(self.grid)), key=totals.__getitem__)
-        parts = [f.where("cv = 'train'") for f in folds.values()]
-        rows = parts[-1]
-        if self.refit == "all":
-            for p in parts[:-1]:
-                rows = rows.unionByName(p)
-            rows = rows.distinct()
-        return CrossValidatorModel(self.estimator.fit(rows, self.grid[best]), avgMetrics=totals)
+        rows = self._all_training(dataset) if self.getOrDefault(self.refit) == "all" else sides[-1][0]
+        return TemporalCrossValidatorModel(self.estimator.fit(rows, self.grid[best]), totals, best, kept if keep else None)
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader(cls)
+
+
+class TemporalCrossValidatorModel(Model, MLReadable, MLWritable):
+    """The best model refitted, the mean score of every setting, which was best, and on demand the models of every fold and setting."""
+
+    def __init__(self, bestModel: Model | None = None, avgMetrics: list[float] = (), bestIndex: int = 0, subModels: list[list[Model]] | None = None):
+        super().__init__()
+        self.bestModel, self.avgMetrics, self.bestIndex, self.subModels = bestModel, list(avgMetrics), bestIndex, subModels
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.bestModel.transform(dataset)
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader(cls)
+
+
+class _Writer(MLWriter):
+    """Metadata as for any stage, and the stages inside in folders of their own."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        x = self.instance
+        if isinstance(x, TemporalCrossValidator):
+            extra, inside = {"grid": _settings_out(x.grid)}, {"estimator": x.estimator, "evaluator": x.evaluator}
+        else:
+            extra = {"avgMetrics": x.avgMetrics, "bestIndex": x.bestIndex, "subModels": [len(f) for f in x.subModels or []]}
+            inside = {"bestModel": x.bestModel} | {f"subModels/{i}/{j}": m for i, f in enumerate(x.subModels or []) for j, m in enumerate(f)}
+        DefaultParamsWriter.saveMetadata(x, path, self.sparkSession, extraMetadata=extra)
+        for name, stage in inside.items():
+            stage.write().overwrite().save(f"{path}/{name}")
+
+
+class _Reader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        told = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        inner = lambda name: DefaultParamsReader.loadParamsInstance(f"{path}/{name}", self.sparkSession)
+        if self.cls is TemporalCrossValidator:
+            estimator = inner("estimator")
+            out = TemporalCrossValidator(estimator, _settings_in(told["grid"], estimator), inner("evaluator"))
+        else:
+            subs = [[inner(f"subModels/{i}/{j}") for j in range(n)] for i, n in enumerate(told["subModels"])] or None
+            out = TemporalCrossValidatorModel(inner("bestModel"), told["avgMetrics"], told["bestIndex"], subs)
+        out._resetUid(told["uid"])
+        DefaultParamsReader.getAndSetParams(out, told)
+        return out
 
 
-def grid_scores(model: CrossValidatorModel, grid: list[dict], df: DataFrame) -> DataFrame:
+def grid_scores(model: TemporalCrossValidatorModel, grid: list[dict], df: DataFrame) -> DataFrame:
     """params, score: one row for each setting."""
     rows = [(", ".join(sorted(f"{p.name}={v}" for p, v in g.items())), float(s)) for g, s in zip(grid, model.avgMetrics, strict=True)]
     return df.sparkSession.createDataFrame(rows, "params string, score double")

@@ -12,6 +12,7 @@ from punctual.operators import features, folds, metrics, relational, sampling, t
 from punctual.plans import pipelines
 from punctual.plans.queries import KEYS, READINGS, SKY, ZONES, returns
 from punctual.plans.registry import Tables, query
+from punctual.plans.store_queries import place
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -172,10 +173,25 @@ def q3_build_joined(t: Tables) -> DataFrame:
     return _joined(t).select("flight", "ORIGIN", "DEST", F.col("utc_ts").cast("timestamp_ntz").alias("utc_ts"), "origin_station", "dest_station", F.round("origin_weather_avg_HourlyAltimeterSetting", 4).alias("origin_altimeter"), "dest_weather_Calm_Winds")
 
 
+def _ready(t: Tables) -> DataFrame:
+    return _flights(t).withColumn("ts", timeops.local_ts(F.col("FL_DATE"), F.col("CRS_DEP_TIME")))
+
+
+SPEC = {"label": "DEP_DEL15", "aircraft": "TAIL_NUM", "place": "ORIGIN", "ts": "ts", "date": "FL_DATE", "cancelled": "CANCELLED", "numbers": ["value"]}
+TRAIN = "FL_DATE < '2024-01-20'"
+
+
 def _steps(t: Tables) -> dict[str, DataFrame]:
-    calendar = timeops.holidays(t.spark, 2023, 2025)
-    ready = _flights(t).withColumn("ts", timeops.local_ts(F.col("FL_DATE"), F.col("CRS_DEP_TIME")))
-    return pipelines.build_features(ready, calendar, label="DEP_DEL15", aircraft="TAIL_NUM", place="ORIGIN", ts="ts", date="FL_DATE", cancelled="CANCELLED", numbers=["value"], train=F.col("FL_DATE") < "2024-01-20")
+    return pipelines.build_features(_ready(t), timeops.holidays(t.spark, 2023, 2025), train=F.expr(TRAIN), **SPEC)
+
+
+def _saved(t: Tables, **more) -> tuple[DataFrame, DataFrame]:
+    """The written features and the audit log."""
+    spec, folder, ready = pipelines.FeatureSpec(**SPEC, **more), place(t), _ready(t)
+    pipelines.learn_features(ready, spec, F.expr(TRAIN)).save(f"{folder}/learned")
+    learned = pipelines.Learned.load(t.spark, f"{folder}/learned", encoder=bool(spec.categories))
+    saved = pipelines.save_features(ready, timeops.holidays(t.spark, 2023, 2025), spec, learned, dataset="flights", source="events", destination=f"{folder}/features", log=f"{folder}/audit")
+    return saved, t.spark.read.parquet(f"{folder}/audit")
 
 
 @query("""
@@ -193,7 +209,76 @@ SELECT 'flights' AS dataset, i::int AS sequence, s AS step, n AS rows_after FROM
   LATERAL (SELECT count(*) FILTER (every = 1 OR event_id % 50 <> 0) AS n FROM events)
 """)
 def q4_audit(t: Tables) -> DataFrame:
-    return pipelines.audit(_steps(t), "flights").select("dataset", "sequence", "step", "rows_after")
+    return _saved(t)[1].where("step != 'saved'").select("dataset", "sequence", "step", "rows_after")
+
+
+@query("""
+WITH r AS (SELECT count(*) AS n, count(*) FILTER (event_id % 50 <> 0) AS kept FROM events)
+SELECT 'flights' AS dataset, 'events' AS source, i::int AS sequence, s AS step, w::int AS cols_after, CASE WHEN i = 1 THEN n ELSE kept END AS rows_after, true AS timed
+FROM r, (VALUES (1, 'joined', 10), (2, 'not_cancelled', 10), (3, 'prior_flag', 11), (4, 'holidays', 13), (5, 'place_mean', 14), (6, 'complete', 14), (7, 'encoded', 16), (8, 'scaled', 16), (9, 'saved', 16)) AS v(i, s, w)
+""")
+def q4_saved_audit(t: Tables) -> DataFrame:
+    """The log of a run that encodes and saves, from one pass over the events."""
+    _, log = _saved(t, categories=["DEST"])
+    return log.select("dataset", "source", "sequence", "step", "cols_after", "rows_after", F.col("ts").isNotNull().alias("timed"))
+
+
+@query("""
+WITH f AS (SELECT event_id AS flight, ts::date AS d, event_id * 7 % 25 AS dest FROM events WHERE event_id % 50 <> 0),
+o AS (SELECT dest, row_number() OVER (ORDER BY count(*) DESC, dest::varchar) - 1 AS i FROM f WHERE d < '2024-01-20' GROUP BY dest)
+SELECT flight, coalesce(i, (SELECT count(*) FROM o))::int AS place, 1::int AS ones FROM f LEFT JOIN o USING (dest)
+""")
+def q4_saved_features(t: Tables) -> DataFrame:
+    """The encoding of every saved row: which place of the vector is 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    saved, _ = _saved(t, categories=["DEST"])
+    hot = vector_to_array("_DEST")
+    return saved.select("flight", (F.array_position(hot, 1.0) - 1).cast("int").alias("place"), F.size(F.filter(hot, lambda x: x != 0)).alias("ones"))
+
+
+SCORED_SQL = """
+WITH s AS (SELECT l_extendedprice / 200000 AS p, (l_returnflag = 'R')::int AS y FROM lineitem),
+c AS (SELECT p AS threshold, count(*) FILTER (y = 1) AS yes, count(*) FILTER (y = 0) AS no FROM s GROUP BY p),
+r AS (SELECT threshold, sum(yes) OVER w AS tp, sum(no) OVER w AS fp, sum(yes) OVER () AS ys, sum(no) OVER () AS ns FROM c WINDOW w AS (ORDER BY threshold DESC)),
+cells AS (SELECT threshold, tp::bigint AS tp, (ns - fp)::bigint AS tn, fp::bigint AS fp, (ys - tp)::bigint AS fn FROM r)
+"""
+
+
+def _priced(t: Tables) -> DataFrame:
+    return returns(t).select((F.col("l_extendedprice") / 200000).alias("p"), "label")
+
+
+@query(SCORED_SQL + "SELECT threshold, tp, tn, fp, fn, round(tp / (tp + fn), 6) AS tpr, round(fp / (fp + tn), 6) AS fpr FROM cells")
+def g3_exact_curves(t: Tables) -> DataFrame:
+    """A point for every different score."""
+    return metrics.exact_curves(_priced(t), "label", "p").select("threshold", "tp", "tn", "fp", "fn", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query(SCORED_SQL + "SELECT threshold, round(1.25 * tp / (1.25 * tp + 0.25 * fn + fp), 6) AS fbeta FROM cells ORDER BY 1.25 * tp / (1.25 * tp + 0.25 * fn + fp) DESC, threshold DESC LIMIT 1")
+def g4_exact_best_threshold(t: Tables) -> DataFrame:
+    return metrics.best_threshold(metrics.exact_curves(_priced(t), "label", "p")).withColumn("fbeta", F.round("fbeta", 6))
+
+
+@query(SCORED_SQL + "SELECT round(sum(yes * (below + no / 2)) / (sum(yes) * sum(no)), 6) AS auc FROM (SELECT yes::double AS yes, no::double AS no, coalesce(sum(no) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS below FROM c)")
+def g3_area_under_roc(t: Tables) -> DataFrame:
+    return metrics.area_under_roc(_priced(t), "label", "p").withColumn("auc", F.round("auc", 6))
+
+
+@query("""
+WITH l AS (SELECT (l_returnflag = 'R' OR l_quantity > 40)::int AS y, year(l_shipdate) AS year FROM lineitem),
+f AS (SELECT year, avg(y) AS p FROM l WHERE year IN (1996, 1998) GROUP BY year)
+SELECT 'constant=0.0' AS params, 0.0::double AS score UNION ALL SELECT 'constant=1.0', round(avg(1.25 * p / (0.25 * p + 1)), 4) FROM f
+""")
+def x6_constant_search(t: Tables) -> DataFrame:
+    """The search as a stage, saved and read before it is fitted; a constant classifier has the same score in SQL."""
+    base = tuning.ConstantClassifier()
+    grid = [{base.constant: 0.0}, {base.constant: 1.0}]
+    search = tuning.TemporalCrossValidator(base, grid, metrics.FBetaEvaluator(), folds=folds.predicates("years", "l_shipdate", 1995, 1998), parallelism=2)
+    search.write().overwrite().save(path := place(t))
+    again = tuning.TemporalCrossValidator.load(path)
+    found = again.fit(_train(t))
+    return tuning.grid_scores(found, again.grid, t.events).withColumn("score", F.round("score", 4))
 
 
 @query()

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions import parse, timeops
@@ -72,24 +79,117 @@ def build_joined(flights: DataFrame, airports: DataFrame, weather: DataFrame, *,
     return joins.hour_join(utc, side("x"), entity="weather_station", hour="weather_hour", roles={"origin": "origin_station", "dest": "dest_station"}, fact_hour=at)
 
 
-def build_features(joined: DataFrame, calendar: DataFrame, *, label: str, aircraft: str, place: str, ts: str, date: str, cancelled: str, numbers: list[str], train: Column) -> dict[str, DataFrame]:
-    """The frame after each step by name, the features last. Means and ranges are learned where `train` holds."""
-    steps = {"joined": joined}
-    steps["not_cancelled"] = relational.drop_cancelled(joined, cancelled)
-    steps["prior_flag"] = windows.prior_flag(steps["not_cancelled"], aircraft, ts, label)
-    steps["holidays"] = timeops.holiday_flags(steps["prior_flag"], date, calendar)
-    df = steps["holidays"]
-    steps["place_mean"] = features.target_mean_encode(df.where(train), df, place, label, "place_mean")
-    df = steps["complete"] = relational.require_not_null(relational.drop_leakage(steps["place_mean"]), [label, *numbers])
-    steps["scaled"] = features.minmax(df.where(train), df, numbers)
-    return steps
-
-
-def audit(steps: dict[str, DataFrame], dataset: str) -> DataFrame:
-    """dataset, sequence, step, cols_after, rows_after of every step, as one job that reads few columns."""
-    cols = agg.coverage_audit(list(steps.items())).withColumnsRenamed({"what": "step", "n": "rows_after"})
-    widths = parse.recode(F.col("step"), {n: len(d.columns) for n, d in steps.items()}, F.lit(0))
-    return cols.select(F.lit(dataset).alias("dataset"), "sequence", "step", widths.alias("cols_after"), "rows_after")
+@dataclass(frozen=True)
+class FeatureSpec:
+    """The columns that features are made of: `numbers` are scaled, `categories` and `ints` one-hot encoded."""
+
+    label: str
+    aircraft: str
+    place: str
+    ts: str
+    date: str
+    cancelled: str
+    numbers: list[str]
+    categories: list[str] = field(default_factory=list)
+    ints: list[str] = field(default_factory=list)
+
+    def complete(self) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (self.label, *self.numbers)])
+
+
+@dataclass(frozen=True)
+class Learned:
+    """What features take from training rows: the mean label by place and of all, ranges of numbers, the encoder."""
+
+    means: DataFrame
+    overall: float | None
+    ranges: dict[str, tuple[float | None, float | None]]
+    encoder: PipelineModel | None
+
+    def save(self, path: str) -> None:
+        spark = self.means.sparkSession
+        sinks.write_parquet(self.means, f"{path}/means")
+        rows = [(c, None if lo is None else float(lo), None if hi is None else float(hi)) for c, (lo, hi) in self.ranges.items()]
+        sinks.write_parquet(spark.createDataFrame([(None, self.overall, None), *rows], "column string, low double, high double"), f"{path}/ranges")
+        if self.encoder:
+            sinks.save_model(self.encoder, f"{path}/encoder")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, *, encoder: bool = True) -> Learned:
+        rows = {r["column"]: (r["low"], r["high"]) for r in spark.read.parquet(f"{path}/ranges").collect()}
+        return cls(spark.read.parquet(f"{path}/means"), rows.pop(None)[0], rows, sinks.load_model(PipelineModel, f"{path}/encoder") if encoder else None)
+
+
+def learn_features(joined: DataFrame, spec: FeatureSpec, train: Column) -> Learned:
+    """One pass over the training rows groups them by place; the means and ranges of all come from those groups."""
+    rows = relational.drop_cancelled(joined, spec.cancelled).where(train)
+    valid = lambda c: F.when(spec.complete(), F.col(c))
+    ends = [x for c in spec.numbers for x in (F.min(valid(c)).alias(f"_lo_{c}"), F.max(valid(c)).alias(f"_hi_{c}"))]
+    groups = sinks.checkpointed(rows.groupBy(spec.place).agg(F.sum(spec.label).alias("_yes"), F.count(spec.label).alias("_n"), *ends))
+    all_ = groups.agg(F.try_divide(F.sum("_yes"), F.sum("_n")).alias("overall"), *[f(f"{p}{c}").alias(f"{p}{c}") for c in spec.numbers for f, p in ((F.min, "_lo_"), (F.max, "_hi_"))]).first()
+    encoder = features.fit_encoder(rows.where(spec.complete()), spec.categories, spec.ints) if spec.categories else None
+    means = groups.select(spec.place, F.try_divide("_yes", "_n").alias("_mean"))
+    return Learned(means, all_["overall"], {c: (all_[f"_lo_{c}"], all_[f"_hi_{c}"]) for c in spec.numbers}, encoder)
+
+
+def feature_steps(spec: FeatureSpec, calendar: DataFrame, learned: Learned) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The steps from joined rows to features, by name and in order; none of them reads training rows again."""
+
+    def place_mean(df: DataFrame) -> DataFrame:
+        return df.join(learned.means, spec.place, "left").withColumn("place_mean", F.coalesce("_mean", F.lit(learned.overall))).drop("_mean")
+
+    def scaled(df: DataFrame) -> DataFrame:
+        at = {c: (F.lit(lo).cast("double"), F.lit(hi).cast("double")) for c, (lo, hi) in learned.ranges.items()}
+        return df.withColumns({c: F.coalesce(F.try_divide(F.col(c) - lo, hi - lo), F.when(F.col(c).isNotNull(), 0.5)) for c, (lo, hi) in at.items()})
+
+    steps = [
+        ("not_cancelled", lambda df: relational.drop_cancelled(df, spec.cancelled)),
+        ("prior_flag", lambda df: windows.prior_flag(df, spec.aircraft, spec.ts, spec.label, one_pass=True)),
+        ("holidays", lambda df: timeops.holiday_flags(df, spec.date, calendar)),
+        ("place_mean", place_mean),
+        ("complete", lambda df: relational.require_not_null(relational.drop_leakage(df), [spec.label, *spec.numbers])),
+    ]
+    if learned.encoder:
+        steps.append(("encoded", learned.encoder.transform))
+    return [*steps, ("scaled", scaled)]
+
+
+def build_features(joined: DataFrame, calendar: DataFrame, *, train: Column, **spec) -> dict[str, DataFrame]:
+    """The frame after each step by name, the features last. What is learned is learned where `train` holds, a condition on `joined`."""
+    given = FeatureSpec(**spec)
+    frames = {"joined": joined}
+    for name, step in feature_steps(given, calendar, learn_features(joined, given, train)):
+        frames[name] = step(list(frames.values())[-1])
+    return frames
+
+
+AUDIT = "dataset string, ts timestamp, source string, destination string, sequence int, step string, cols_after int, rows_after long"
+
+
+def save_features(joined: DataFrame, calendar: DataFrame, spec: FeatureSpec, learned: Learned, *, dataset: str, source: str, destination: str, log: str, by: list[str] | None = None) -> DataFrame:
+    """Write the features of `joined` to `destination`, add what every step left over to the log, and read the features.
+
+    Rows are counted by metrics that Spark observes while the features are written, so the whole of it is one pass
+    over `joined`. The log gets the step `saved` last, whose rows are those of the written files.
+    """
+    spark = joined.sparkSession
+    seen: list[tuple[str, int, Observation]] = []
+
+    def watched(name: str, df: DataFrame) -> DataFrame:
+        seen.append((name, len(df.columns), Observation(f"{name} {uuid.uuid4().hex}")))
+        return df.observe(seen[-1][2], F.count(F.lit(1)).alias("rows"))
+
+    with sinks.in_new_session(joined=joined, calendar=calendar, means=learned.means) as there:
+        df = watched("joined", there["joined"])
+        for name, step in feature_steps(spec, there["calendar"], replace(learned, means=there["means"])):
+            df = watched(name, step(df))
+        sinks.write_partitioned(df, destination, by) if by else sinks.write_parquet(df, destination)
+    saved = spark.read.parquet(destination)
+    told = [(name, width, x.get["rows"]) for name, width, x in seen] + [("saved", len(saved.columns), saved.count())]
+    now = datetime.now(UTC).replace(tzinfo=None)
+    rows = [(dataset, now, source, destination, i, name, width, n) for i, (name, width, n) in enumerate(told, 1)]
+    sinks.append_log(spark.createDataFrame(rows, AUDIT), log)
+    return saved
 
 
 def train_and_evaluate(df: DataFrame, folds: dict[str, DataFrame], *, cols: list[str], label: str, keys: list[str], grid: list[dict] | None = None, ratio: float = 3.0, history: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -86,6 +87,28 @@ def cached_view(df: DataFrame, name: str) -> Iterator[None]:
         df.sparkSession.catalog.dropTempView(name)
 
 
+@contextmanager
+def in_new_session(**frames: DataFrame) -> Iterator[dict[str, DataFrame]]:
+    """The same frames in a session of their own with the same settings, while the block runs.
+
+    A session that has observed metrics can no longer run fitted models that hold a summary: the summary's frame, and with
+    it the session, goes into the task. So what is observed is observed in another session.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    other = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if other.conf.isModifiable(k):
+            other.conf.set(k, v)
+    names = {k: f"{k}_{uuid.uuid4().hex}" for k in frames}
+    try:
+        for k, df in frames.items():
+            df.createGlobalTempView(names[k])
+        yield {k: other.table(f"global_temp.{n}") for k, n in names.items()}
+    finally:
+        for n in names.values():
+            spark.catalog.dropGlobalTempView(n)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Use the folder that spark.checkpoint.dir names; a temporary one only where none is set, and only on one machine."""
     import tempfile

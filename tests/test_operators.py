@@ -13,8 +13,9 @@ START = dt.datetime(2015, 1, 1)
 def test_prior_flag(spark):
     rows = [("T1", 0, 1), ("T1", 8100, 1), ("T1", 16201, 0), ("T1", 24302, 1), ("T2", 80000, 1), ("T2", 90000, 1), (None, 1, 1), (None, 20000, 1)]
     df = spark.createDataFrame([(k, START + dt.timedelta(seconds=s), x, i) for i, (k, s, x) in enumerate(rows)], "k string, ts timestamp, y int, i int")
-    got = windows.prior_flag(df, "k", "ts", "y").orderBy("i").collect()
-    assert [r["prior_flag"] for r in got] == [0, 0, 1, 0, 0, 0, 0, 0]
+    for one_pass in (False, True):
+        got = windows.prior_flag(df, "k", "ts", "y", one_pass=one_pass).orderBy("i").collect()
+        assert [r["prior_flag"] for r in got] == [0, 0, 1, 0, 0, 0, 0, 0]
 
 
 def test_prior_band_is_brute_force(spark):
