@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +101,19 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return half.unionByName(half.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
 
 
+def corr_wide(df: DataFrame, cols: list[str]) -> DataFrame:
+    """a, b, r of all pairs of any number of columns: one aggregate of a vector gives all sums of products.
+
+    Rows with a null or NaN in any of the columns are left out; columns that don't vary have no correlation (null).
+    """
+    ready = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    vector = VectorAssembler(inputCols=ready.columns, outputCol="_v", handleInvalid="skip").transform(ready).select("_v")
+    matrix = Correlation.corr(vector, "_v").first()[0].toArray() if not vector.isEmpty() else None
+    value = lambda i, j: None if matrix is None or not math.isfinite(matrix[i, j]) else float(matrix[i, j])
+    rows = [(a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]  # columns squared, whatever the rows
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
     """bin (1 to bins; 0 and bins + 1 outside), n."""
     return df.where(F.col(col).isNotNull()).groupBy(F.width_bucket(F.col(col), F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))

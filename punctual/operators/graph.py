@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.sources.sinks import checkpointed
+from punctual.sources.sinks import checkpointed, remove_path, shared_folder
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -25,27 +30,100 @@ def init_ranks(edges: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(ids.agg(F.count("*").alias("_n")))).select("id", (1 / F.col("_n")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, tolerance: float | None = None) -> DataFrame:
-    """id, rank: teleport `alpha`, the mass of dangling nodes spread over all, edges followed by weight.
+@dataclass(frozen=True)
+class StoredLinks:
+    """Links (src, dst, part of src's weight) as they are stored for many rounds: in buckets by src, but for those of hubs."""
+
+    links: DataFrame
+    buckets: int
+    hubs: DataFrame | None
+
+
+#: A node is a hub whose links are over one in so many of all, which bounds their number.
+HUBS = 1000
+
+
+@contextmanager
+def stored_links(edges: DataFrame, *, hub_links: int = 1_000_000) -> Iterator[StoredLinks]:
+    """Store the links once, bucketed by `src`, while the block runs.
 
-    Each round is cut from the lineage of the one before, as it is used more than once. With a tolerance it stops once the ranks' changes sum to less.
+    Joins with a table that is bucketed alike by node then move no links. The links of hubs (nodes with over `hub_links` links and
+    over one in HUBS of all) are stored apart, as they come, and meet their hubs, HUBS at most, by broadcast; so no task has all links of a hub.
     """
+    spark = edges.sparkSession
     links = edges.where("dst is not null").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    total = links.groupBy("src").agg(F.sum("weight").alias("_sum"))
-    links = checkpointed(links.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("part")))
-    out = links.select(F.col("src").alias("id")).distinct().withColumn("_out", F.lit(True))
-    ranks = checkpointed(init_ranks(edges).join(out, "id", "left"))
-    n = ranks.count()
-    for _ in range(iters):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("rank"))), F.lit(0.0)).alias("_lost"))
-        came = ranks.join(links, ranks["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("part")).alias("_in"))
-        rank = alpha / n + (1 - alpha) * (F.col("_lost") / n + F.coalesce("_in", F.lit(0.0)))
-        new = ranks.join(came, "id", "left").join(F.broadcast(lost)).select("id", rank.alias("rank"), "_out", F.col("rank").alias("_old"))
-        new = checkpointed(new)
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0) < tolerance:
-            return new.select("id", "rank")
-        ranks = new.drop("_old")
-    return ranks.select("id", "rank")
+    links = checkpointed(links)
+    total = links.groupBy("src").agg(F.sum("weight").alias("_sum"), F.count("*").alias("_n"))
+    hubs = checkpointed(total.where((F.col("_n") > hub_links) & (F.col("_n") > links.count() / HUBS)).select("src"))
+    parts = links.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("part"))
+    mark = hubs.withColumn("_hub", F.lit(True))
+    some = not hubs.isEmpty()
+    marked = parts.join(F.broadcast(mark), "src", "left") if some else parts.withColumn("_hub", F.lit(None).cast("boolean"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = BucketedTable.write(marked.where("_hub is null").drop("_hub"), "src", buckets)
+    apart = checkpointed(marked.where("_hub").drop("_hub")) if some else None
+    try:
+        yield StoredLinks(stored.read(), buckets, apart)
+    finally:
+        stored.drop()
+
+
+@dataclass(frozen=True)
+class BucketedTable:
+    """A table in the shared folder, dealt to buckets by one column."""
+
+    spark: SparkSession
+    name: str
+    path: str
+
+    @classmethod
+    def write(cls, df: DataFrame, by: str, buckets: int) -> BucketedTable:
+        name = f"bucketed_{uuid.uuid4().hex}"
+        path = f"{shared_folder(df.sparkSession)}/{name}"
+        df.write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+        return cls(df.sparkSession, name, path)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(self.spark, self.path)
+
+
+def rank_round(ranks: DataFrame, stored: StoredLinks, n: int, lost: float, alpha: float) -> DataFrame:
+    """One round: (id, rank, _out, _old) from ranks bucketed by id as the links are by src. Only what links carry is shuffled, once, by dst."""
+    sent = ranks.join(stored.links, ranks["id"] == F.col("src")).select("dst", (F.col("rank") * F.col("part")).alias("_in"))
+    if stored.hubs is not None:
+        own = ranks.join(F.broadcast(stored.hubs.select(F.col("src").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("src"), "rank")
+        sent = sent.unionByName(stored.hubs.join(F.broadcast(own), "src").select("dst", (F.col("rank") * F.col("part")).alias("_in")))
+    came = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("_in").alias("_in"))
+    rank = F.lit(alpha / n) + (1 - alpha) * (F.lit(lost / n) + F.coalesce("_in", F.lit(0.0)))
+    return ranks.join(came, "id", "left").select("id", rank.alias("rank"), "_out", F.col("rank").alias("_old"))
+
+
+def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, tolerance: float | None = None, hub_links: int = 1_000_000) -> DataFrame:
+    """id, rank: teleport `alpha`, the mass of dangling nodes spread over all, edges followed by weight.
+
+    Ranks and links are tables bucketed by node, so that a round moves contributions only; each round writes its ranks
+    anew, which also cuts their lineage. With a tolerance it stops once the ranks' changes sum to less.
+    """
+    spark = edges.sparkSession
+    with stored_links(edges, hub_links=hub_links) as stored:
+        out = stored.links.select(F.col("src").alias("id")).distinct()
+        if stored.hubs is not None:
+            out = out.unionByName(stored.hubs.select(F.col("src").alias("id")).distinct())
+        first = init_ranks(edges).join(out.withColumn("_out", F.lit(True)), "id", "left").withColumn("_old", F.lit(0.0))
+        table = BucketedTable.write(first, "id", stored.buckets)
+        for k in range(iters):
+            facts = table.read().agg(F.count("*").alias("n"), F.sum(F.when(F.col("_out").isNull(), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("moved")).first()
+            if not facts["n"] or (k and tolerance is not None and facts["moved"] < tolerance):
+                break
+            new = BucketedTable.write(rank_round(table.read(), stored, facts["n"], facts["lost"] or 0.0, alpha), "id", stored.buckets)
+            table.drop()
+            table = new
+    spark.sql(f"DROP TABLE IF EXISTS {table.name}")  # the files stay, in the folder of checkpoints
+    return spark.read.schema("id " + dict(first.dtypes)["id"] + ", rank double").parquet(table.path)
 
 
 def steady_state(edges: DataFrame, iters: int = 50, **more) -> DataFrame:
@@ -65,6 +143,22 @@ def degree_summary(edges: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n_nodes"), F.avg(F.coalesce("out_degree", F.lit(0))).alias("mean_out"), F.max(F.coalesce("out_degree", F.lit(0))).alias("max_out"))
 
 
+def degree_report(edges: DataFrame, *, top: int = 10, sampled: int = 1000) -> DataFrame:
+    """kind (top or sample), place, id, out_degree: the nodes with most outgoing edges, and `sampled` nodes chosen by the MD5 of their id.
+
+    Each is a bottom-k: every task hands on its first `top` or `sampled` rows only, and these are merged; the degrees are
+    counted once. Ties of degree go to the lesser id; dangling nodes count with 0.
+    """
+    d = checkpointed(nodes(edges).join(degrees(edges), "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree")))
+
+    def first(kind: str, n: int, *order: Column) -> DataFrame:
+        few = d.orderBy(*order).limit(n)  # a top-k in every task, then among those
+        rows = few.agg(F.collect_list(F.struct("id", "out_degree")).alias("rows"))  # n rows, in order
+        return rows.select(F.lit(kind).alias("kind"), F.posexplode("rows").alias("place", "r")).select("kind", (F.col("place") + 1).alias("place"), "r.id", "r.out_degree")
+
+    return first("top", top, F.desc("out_degree"), F.col("id")).unionByName(first("sample", sampled, F.md5(F.col("id").cast("string")), F.col("id")))
+
+
 def sssp(edges: DataFrame, source, *, weighted: bool = False, most_rounds: int = 1000) -> DataFrame:
     """id, distance of all nodes that can be reached from `source`.
 
@@ -82,6 +176,45 @@ def sssp(edges: DataFrame, source, *, weighted: bool = False, most_rounds: int =
     raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
+def delta_stepping(edges: DataFrame, source, *, delta: float | None = None, most_rounds: int = 10_000, watch=None) -> DataFrame:
+    """id, distance by weight of all nodes that can be reached from `source`; weights are 0 or more.
+
+    Distances are settled bucket by bucket, each `delta` wide: within a bucket light edges (up to `delta`) are followed until
+    nothing in it gets nearer; then its heavy edges are followed once, as they can't lead back into it. So an edge
+    of a node that still gets nearer isn't followed for every improvement, unlike in `sssp`. The default `delta` is the mean
+    weight. `watch` is called with each round's kind and bucket.
+    """
+    steps = checkpointed(edges.where("dst is not null").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")))
+    facts = steps.agg(F.min("w").alias("least"), F.avg("w").alias("mean")).first()
+    if facts["least"] is not None and facts["least"] < 0:
+        raise ValueError("a weight is below 0")
+    wide = delta or facts["mean"] or 1.0
+    light, heavy = steps.where(F.col("w") <= wide), steps.where(F.col("w") > wide)
+    bucket = lambda c: F.floor(F.col(c) / F.lit(wide))
+    # _todo: got nearer and light edges not followed since; _heavy: heavy edges not followed since
+    found = checkpointed(nodes(edges).where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("_todo"), F.lit(True).alias("_heavy")))
+
+    def relaxed(found: DataFrame, front: Column, along: DataFrame, done: str) -> DataFrame:
+        came = found.where(front).join(along, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("_d"))
+        both = found.withColumn("_front", front).join(came, "id", "full_outer")
+        nearer = F.col("distance").isNull() | F.coalesce(F.col("_d") < F.col("distance"), F.lit(False))
+        keep = {c: nearer | (F.coalesce(F.col(c), F.lit(False)) & ~(F.coalesce(F.col("_front"), F.lit(False)) if c == done else F.lit(False))) for c in ("_todo", "_heavy")}
+        return checkpointed(both.select("id", F.least("distance", "_d").alias("distance"), *[x.alias(c) for c, x in keep.items()]))
+
+    for _ in range(most_rounds):
+        at = found.where("_todo OR _heavy").agg(F.min(bucket("distance")).alias("b"), F.min(F.when(F.col("_todo"), bucket("distance"))).alias("t")).first()
+        if at["b"] is None:
+            return found.select("id", "distance")
+        here = bucket("distance") == at["b"]
+        if at["t"] == at["b"]:
+            found = relaxed(found, F.col("_todo") & here, light, "_todo")
+        else:
+            found = relaxed(found, F.col("_heavy") & here, heavy, "_heavy")
+        if watch:
+            watch("light" if at["t"] == at["b"] else "heavy", at["b"])
+    raise RuntimeError(f"not settled in {most_rounds} rounds")
+
+
 def bfs(edges: DataFrame, start: DataFrame, goal: DataFrame, max_len: int = 10) -> DataFrame:
     """path (array of ids): the shortest paths from any id of `start` to any of `goal`, none if there are none within `max_len`.
 

@@ -66,3 +66,22 @@ def filter_to_keys(df: DataFrame, keys: DataFrame, on: str, key: str | None = No
     """The rows whose `on`, whatever its case, is among the keys."""
     wanted = keys.select(F.lower(F.col(key or on)).alias("_key")).distinct()
     return df.join(wanted, F.lower(F.col(on)) == F.col("_key"), "left_semi")
+
+
+def list_files(spark: SparkSession, path: str, key: str = r"([^/.]+)[^/]*$") -> DataFrame:
+    """path, length, modified, key of all files below a folder; none is opened. `key` is a pattern whose group is taken from the path, in lower case."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("path", key, 1)).alias("key"))
+
+
+def read_keyed_files(spark: SparkSession, path: str, keys: DataFrame, on: str, *, schema: StructType | str, key: str = r"([^/.]+)[^/]*$", format: str = "csv", name: str = "file_key", **options: str | bool) -> DataFrame:
+    """The rows of those files below `path` whose key is among the keys, whatever its case, with the key as a column; other files are never opened.
+
+    Files are listed by Spark and chosen by a join; only the paths of the chosen ones pass the driver, as those of any scan do.
+    """
+    wanted = filter_to_keys(list_files(spark, path, key), keys, "key", on)
+    paths = [r["path"] for r in wanted.select("path").orderBy("path").collect()]
+    reader = spark.read.format(format).schema(schema).options(**{"header": True} | options) if format == "csv" else spark.read.format(format).schema(schema).options(**options)
+    df = reader.load(paths) if paths else spark.createDataFrame([], schema)
+    source = F.regexp_extract(F.col("_metadata.file_path"), key, 1) if paths else F.lit(None).cast("string")
+    return df.withColumn(name, F.lower(source))

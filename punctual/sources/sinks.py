@@ -127,6 +127,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder where Spark's files are, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of `df` without its lineage, in the shared checkpoint folder."""
     checkpoint_folder(df.sparkSession)
