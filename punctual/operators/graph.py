@@ -37,6 +37,7 @@ class StoredLinks:
     links: DataFrame
     buckets: int
     hubs: DataFrame | None
+    nodes: DataFrame  # id, _out: whether it has links, else null
 
 
 #: A node is a hub whose links are over one in so many of all, which bounds their number.
@@ -45,25 +46,26 @@ HUBS = 1000
 
 @contextmanager
 def stored_links(edges: DataFrame, *, hub_links: int = 1_000_000) -> Iterator[StoredLinks]:
-    """Store the links once, bucketed by `src`, while the block runs.
+    """Store the links once, bucketed by `src`, while the block runs; `edges` is read once.
 
     Joins with a table that is bucketed alike by node then move no links. The links of hubs (nodes with over `hub_links` links and
     over one in HUBS of all) are stored apart, as they come, and meet their hubs, HUBS at most, by broadcast; so no task has all links of a hub.
     """
     spark = edges.sparkSession
-    links = edges.where("dst is not null").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    links = checkpointed(links)
-    total = links.groupBy("src").agg(F.sum("weight").alias("_sum"), F.count("*").alias("_n"))
-    hubs = checkpointed(total.where((F.col("_n") > hub_links) & (F.col("_n") > links.count() / HUBS)).select("src"))
-    parts = links.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("part"))
-    mark = hubs.withColumn("_hub", F.lit(True))
-    some = not hubs.isEmpty()
-    marked = parts.join(F.broadcast(mark), "src", "left") if some else parts.withColumn("_hub", F.lit(None).cast("boolean"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = BucketedTable.write(marked.where("_hub is null").drop("_hub"), "src", buckets)
-    apart = checkpointed(marked.where("_hub").drop("_hub")) if some else None
+    summed = checkpointed(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))  # rows without dst stay, as nodes
+    total = checkpointed(summed.groupBy("src").agg(F.sum(F.when(F.col("dst").isNotNull(), F.col("weight"))).alias("_sum"), F.count("dst").alias("_n")))
+    facts = total.agg(F.sum("_n").alias("links"), F.max("_n").alias("most")).first()
+    parts = summed.where("dst is not null").join(total.select("src", "_sum", "_n"), "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("part"), "_n")
+    least = max(hub_links, (facts["links"] or 0) / HUBS)
+    apart = checkpointed(parts.where(F.col("_n") > least).drop("_n")) if (facts["most"] or 0) > least else None
+    stored = BucketedTable.write(parts.where(F.col("_n") <= least).drop("_n"), "src", buckets)
+    # one row a node: those that links lead to, and those with a row of their own
+    ids = summed.where("dst is not null").groupBy(F.col("dst").alias("id")).agg(F.lit(None).cast("boolean").alias("_out"))
+    own = total.where("src is not null").select(F.col("src").alias("id"), F.when(F.col("_n") > 0, True).alias("_out"))
+    nodes_ = ids.unionByName(own).groupBy("id").agg(F.max("_out").alias("_out"))
     try:
-        yield StoredLinks(stored.read(), buckets, apart)
+        yield StoredLinks(stored.read(), buckets, apart, nodes_)
     finally:
         stored.drop()
 
@@ -91,39 +93,44 @@ class BucketedTable:
         remove_path(self.spark, self.path)
 
 
-def rank_round(ranks: DataFrame, stored: StoredLinks, n: int, lost: float, alpha: float) -> DataFrame:
-    """One round: (id, rank, _out, _old) from ranks bucketed by id as the links are by src. Only what links carry is shuffled, once, by dst."""
-    sent = ranks.join(stored.links, ranks["id"] == F.col("src")).select("dst", (F.col("rank") * F.col("part")).alias("_in"))
+def followed(now: DataFrame, stored: StoredLinks, values: list[str]) -> DataFrame:
+    """id and the sums of `values` that links carry to it by their parts, from rows (id, values) dealt by id as the links are by src.
+
+    Only what is carried is shuffled, once, by where it goes.
+    """
+    carried = [(F.col(v) * F.col("part")).alias(v) for v in values]
+    sent = now.join(stored.links, now["id"] == F.col("src")).select("dst", *carried)
     if stored.hubs is not None:
-        own = ranks.join(F.broadcast(stored.hubs.select(F.col("src").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("src"), "rank")
-        sent = sent.unionByName(stored.hubs.join(F.broadcast(own), "src").select("dst", (F.col("rank") * F.col("part")).alias("_in")))
-    came = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("_in").alias("_in"))
-    rank = F.lit(alpha / n) + (1 - alpha) * (F.lit(lost / n) + F.coalesce("_in", F.lit(0.0)))
-    return ranks.join(came, "id", "left").select("id", rank.alias("rank"), "_out", F.col("rank").alias("_old"))
+        own = now.join(F.broadcast(stored.hubs.select(F.col("src").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("src"), *values)
+        sent = sent.unionByName(stored.hubs.join(F.broadcast(own), "src").select("dst", *carried))
+    return sent.groupBy(F.col("dst").alias("id")).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.15, iters: int = 10, *, tolerance: float | None = None, hub_links: int = 1_000_000) -> DataFrame:
     """id, rank: teleport `alpha`, the mass of dangling nodes spread over all, edges followed by weight.
 
-    Ranks and links are tables bucketed by node, so that a round moves contributions only; each round writes its ranks
-    anew, which also cuts their lineage. With a tolerance it stops once the ranks' changes sum to less.
+    Ranks and links are tables bucketed by node, so that a round moves what links carry and nothing else; each round writes
+    its ranks anew, which also cuts their lineage. With a tolerance it stops once the ranks' changes sum to less.
     """
     spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
     with stored_links(edges, hub_links=hub_links) as stored:
-        out = stored.links.select(F.col("src").alias("id")).distinct()
-        if stored.hubs is not None:
-            out = out.unionByName(stored.hubs.select(F.col("src").alias("id")).distinct())
-        first = init_ranks(edges).join(out.withColumn("_out", F.lit(True)), "id", "left").withColumn("_old", F.lit(0.0))
-        table = BucketedTable.write(first, "id", stored.buckets)
-        for k in range(iters):
-            facts = table.read().agg(F.count("*").alias("n"), F.sum(F.when(F.col("_out").isNull(), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("moved")).first()
-            if not facts["n"] or (k and tolerance is not None and facts["moved"] < tolerance):
-                break
-            new = BucketedTable.write(rank_round(table.read(), stored, facts["n"], facts["lost"] or 0.0, alpha), "id", stored.buckets)
+        table = BucketedTable.write(stored.nodes, "id", stored.buckets)
+        n = table.read().count()
+        now = table.read().select("id", "_out", F.lit(1 / n if n else None).alias("rank"))
+        for _ in range(iters if n else 0):
+            lost = now.agg(F.sum(F.when(F.col("_out").isNull(), F.col("rank")))).first()[0] or 0.0
+            rank = F.lit((alpha + (1 - alpha) * lost) / n) + (1 - alpha) * F.coalesce("_in", F.lit(0.0))
+            came = followed(now.select("id", F.col("rank").alias("_in")), stored, ["_in"])
+            new = BucketedTable.write(now.join(came, "id", "left").select("id", "_out", rank.alias("rank"), F.col("rank").alias("_old")), "id", stored.buckets)
             table.drop()
-            table = new
+            table, now = new, new.read()
+            if tolerance is not None and now.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < tolerance:
+                break
     spark.sql(f"DROP TABLE IF EXISTS {table.name}")  # the files stay, in the folder of checkpoints
-    return spark.read.schema("id " + dict(first.dtypes)["id"] + ", rank double").parquet(table.path)
+    if not n or not iters:
+        return spark.read.schema(f"id {kind}").parquet(table.path).withColumn("rank", F.lit(1 / n if n else None).cast("double"))
+    return spark.read.schema(f"id {kind}, rank double").parquet(table.path)
 
 
 def steady_state(edges: DataFrame, iters: int = 50, **more) -> DataFrame:
