@@ -73,11 +73,16 @@ def originals(parsed: DataFrame) -> DataFrame:
 
 
 def quotes(quoting: DataFrame) -> DataFrame:
-    """conv_id, turn, depth, whole (1 for a passage, 0 for one of its lines), h1, h2 of all that is quoted."""
+    """conv_id, turn, depth, whole (1 for a passage, 0 for one of its lines or sentences), h1, h2 of all that is quoted.
+
+    A passage is put together from its lines before it is cut into sentences, so these are found however the lines are wrapped.
+    """
     at = quoting.where("turn is not null").select("conv_id", "turn", F.explode("passages").alias("p"))
     passage = F.struct(F.lit(1).alias("whole"), normal(F.array_join("p.lines", " ")).alias("said"))
     single = F.transform(F.transform(F.col("p.lines"), normal), lambda x: F.struct(F.lit(0).alias("whole"), x.alias("said")))
-    found = at.select("conv_id", "turn", "p.depth", F.explode(F.concat(F.array(passage), single)).alias("q")).where("q.said != ''")
+    cut = F.split(F.regexp_replace(passage["said"], r"([.!?])\x20", "$1\n"), "\n")
+    sentences = F.transform(cut, lambda x: F.struct(F.lit(0).alias("whole"), x.alias("said")))
+    found = at.select("conv_id", "turn", "p.depth", F.explode(F.concat(F.array(passage), single, sentences)).alias("q")).where("q.said != ''")
     return found.select("conv_id", "turn", "depth", "q.whole", *_keys(F.col("q.said"))).distinct()
 
 
@@ -186,7 +191,8 @@ said AS (
 known AS (SELECT DISTINCT conv_id, s, turn AS first_turn FROM (SELECT m, lower(trim(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS s FROM said) JOIN msg USING (m) WHERE s <> ''),
 quoted AS (
   SELECT m, depth, 1 AS whole, said AS s FROM passage UNION ALL
-  SELECT m, depth, 0, x FROM run WHERE depth > 0),
+  SELECT m, depth, 0, x FROM run WHERE depth > 0 UNION ALL
+  SELECT m, depth, 0, unnest(string_split(regexp_replace(lower(trim(regexp_replace(said, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM passage),
 links AS (SELECT conv_id, turn, max({'d': -depth, 'whole': whole, 'first_turn': first_turn}) AS best
   FROM (SELECT m, depth, whole, lower(trim(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS s FROM quoted) q JOIN msg USING (m) JOIN known USING (conv_id, s)
   WHERE first_turn < turn GROUP BY conv_id, turn),

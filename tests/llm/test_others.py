@@ -43,6 +43,18 @@ def test_quotes(spark):
     assert quote_linking.link(df.limit(0)).count() == 0
 
 
+def test_sentences_of_a_quote_are_found(spark):
+    """Two of three sentences, wrapped anew, and with a comment between passages; a part of a sentence is no unit."""
+    rows = [
+        (1, 0, "user", "First sentence of one to ten. Second sentence is here! And a third one?"),
+        (1, 1, "user", "> First sentence of one to ten. Second\n> sentence is here!\nYes."),
+        (1, 2, "user", "> sentence is here! And a\n> third\n> one?\nNo."),
+        (1, 3, "user", "> sentence of one\nWhat?"),
+    ]
+    got = {r["turn"]: r["parent_turn"] for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: None}
+
+
 def quoting_table():
     """Conversations whose messages quote whole messages, lines, sentences and quotes of others, some far back, some said often."""
     rng, rows = np.random.default_rng(12), []
@@ -54,7 +66,9 @@ def quoting_table():
             quoted = []
             for _ in range(int(rng.integers(0, 3)) if said else 0):
                 other = said[int(rng.integers(len(said)))]
-                part = other.split("\n") if rng.random() < 0.5 else [other.split(". ")[0] + ("." if ". " in other else "")]
+                wrapped = " ".join(other.split()[: int(rng.integers(3, 30))])
+                cut = int(rng.integers(1, len(wrapped)))
+                part = [wrapped[:cut], wrapped[cut:]] if rng.random() < 0.2 else other.split("\n") if rng.random() < 0.5 else [other.split(". ")[0] + ("." if ". " in other else "")]
                 mark = "> " if rng.random() < 0.6 else ">> " if rng.random() < 0.7 else "> > > "
                 quoted += ["Bob wrote:"] * (rng.random() < 0.3) + [mark + x for x in part] + [""] * (rng.random() < 0.5)
             said.append(own)
