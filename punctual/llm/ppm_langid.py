@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.llm.common import ship, unit_hash
+from punctual.llm.common import ship, unit_hash, written
 
 UNKNOWN = "und"
 ORDER = 3
@@ -169,21 +169,33 @@ class ContextTrees:
         return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, grams_per_lang: int = 100_000) -> ContextTrees:
-    """Learn the trees from a bounded sample: about `docs_per_lang` whole texts of each labelled language.
+def drawn(docs: DataFrame, per_lang: int, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, text, place: at most `per_lang` different texts of each language, those with the least hashes, from 1 on.
 
-    A text is in the sample if the hash of its key and text is under docs_per_lang / (texts of that
-    language). Of the byte runs counted for a language its `grams_per_lang` most frequent are kept
-    (ties by value). Every language with such a text is learned. Rows without text or language teach
-    nothing. To the driver come at most `grams_per_lang` rows for each language.
+    Copies count once, however many there are. Only rows whose hash is below a bound that lets through about four times as many texts
+    are compared; the bound comes from an estimate of how many different texts a language has. Rows without text or
+    language are never drawn; ties of the hash are equal texts.
     """
-    ship(docs.sparkSession)
-    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit_hash(F.col(key), F.col(text)).alias("u")).where("text is not null and lang is not null and text != ''")
-    rates = known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("rate"))
-    sample = known.join(F.broadcast(rates), "lang").where(F.col("u") < F.col("rate"))  # one row for each language
-    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found = counted.withColumn("place", place).where(F.col("place") <= grams_per_lang).select("lang", "gram", "n").toArrow()
+    hashed = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and text != ''").withColumn("u", unit_hash("text"))
+    rates = hashed.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.approx_count_distinct("u")).alias("rate"))
+    few = hashed.join(F.broadcast(rates), "lang").where(F.col("u") < F.col("rate"))  # one row for each language
+    once = few.groupBy("lang", "u").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    return once.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "text", "place")
+
+
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", docs_per_lang: int = 400) -> ContextTrees:
+    """Learn the trees from a bounded sample: at most `docs_per_lang` different whole texts of each labelled language; see `drawn`.
+
+    Every byte run of these texts is kept. Every language with a text is learned. Rows without text or language teach nothing.
+    What comes to the driver is bounded by the sample.
+    """
+    return fit_drawn(drawn(docs, docs_per_lang, text=text, lang=lang))
+
+
+def fit_drawn(sample: DataFrame) -> ContextTrees:
+    ship(sample.sparkSession)
+    found = sample.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not found.num_rows:
         return ContextTrees([], *(np.zeros(0, np.int64) for _ in range(3)))
     coded = found.column("lang").combine_chunks().dictionary_encode()
@@ -240,8 +252,31 @@ def identify(docs: DataFrame, *, docs_per_lang: int = 400) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def keep_known(docs: DataFrame, *, least_score: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is recognised with at least that score; all columns stay."""
-    trees = fit(docs.where(~held_out()))
+#: A text of a known language needs at most so many times the bits a byte that nearly all others of it need, and some bits more if it is short.
+SLACK, SHORT_BITS = 2.75, 96.0
+
+
+def usual_bits(sample: DataFrame, trees: ContextTrees, share: float = 0.99) -> dict[str, float]:
+    """For each learned language the bits a byte that `share` of the sampled texts need that it wasn't learned from; of texts of 100 bytes and more."""
+    long = sample.where(F.octet_length("text") >= 100).select("text")
+    found = predict(long, trees).where(F.col("bits_per_byte").isNotNull()).groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(share)).alias("bits"))
+    return {r["lang_pred"]: r["bits"] for r in found.collect()}  # one row for each language
+
+
+def keep_known(docs: DataFrame, *, least_score: float = 0.5, docs_per_lang: int = 400, slack: float = SLACK) -> DataFrame:
+    """The rows of `docs` whose language is recognised: all columns stay, and columns of any name may be there.
+
+    Rejected are texts that are null, empty or without a letter, those whose best language has a share under `least_score`, and those that
+    even the best language explains badly: over `slack` times the bits a byte that 99 in 100 other texts of that language
+    need (texts that the trees weren't learned from), and over SHORT_BITS bits in all beyond that. Whole texts of any length are
+    scored. Equal rows share a verdict. A language with no other text to compare with has no such limit. An empty table stays empty.
+    """
+    sample = written(drawn(docs.where(~held_out()), 2 * docs_per_lang), "sample")
+    trees = fit_drawn(sample.where(F.col("place") % 2 == 1))
+    usual = usual_bits(sample.where(F.col("place") % 2 == 0), trees)
     found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), trees)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    fine = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    for lang, bits in usual.items():
+        size = F.octet_length("text")
+        fine &= (F.col("lang_pred") != lang) | (F.col("bits_per_byte") * size <= slack * bits * size + SHORT_BITS)
+    return found.where(fine).select("row.*")

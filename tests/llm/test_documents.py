@@ -194,6 +194,74 @@ def test_languages_of_cases(spark, documents):
     assert ppm_langid.keep_known(df).columns == df.columns
 
 
+def test_sample_is_bounded_by_different_texts(spark):
+    rows = [(i, f"text number {i} of many", "en") for i in range(2000)] + [(i, "the copy", "en") for i in range(2000, 12_000)] + [(1, "ein text", "de"), (2, None, "de"), (3, "x", None), (4, "", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = ppm_langid.drawn(df, 400).collect()
+    texts = [(r["lang"], r["text"]) for r in got]
+    assert len(texts) == len(set(texts)) and Counter(x for x, _ in texts) == {"en": 400, "de": 1}
+    assert sorted(r["place"] for r in got if r["lang"] == "en") == list(range(1, 401))
+    assert ppm_langid.drawn(df.limit(0), 400).count() == 0
+
+
+def bits(text, texts):
+    """What PPM with orders 3 to 0 and escapes needs for a text, learned from others."""
+    known = {}
+    for t in texts:
+        padded = b"\0\0\0" + t
+        for i in range(3, len(padded)):
+            for order in range(4):
+                near = known.setdefault(padded[i - order : i], Counter())
+                near[padded[i]] += 1
+    out, padded = 0.0, b"\0\0\0" + text
+    for i in range(3, len(padded)):
+        for order in (3, 2, 1, 0):
+            near = known.get(padded[i - order : i])
+            if near:
+                total = sum(near.values()) + len(near)
+                if padded[i] in near:
+                    out -= np.log2(near[padded[i]] / total)
+                    break
+                out -= np.log2(len(near) / total)
+        else:
+            out += 8
+    return out
+
+
+def test_table_of_languages_is_brute_force(spark, documents):
+    rows = [tuple(r) for r in documents.where("doc_id < 160 and length(text) between 20 and 900").select("doc_id", "text", "lang").collect()]
+    rows += [(1000, "", "en"), (1001, None, "de"), (1002, "123 !!", "en"), (1003, rows[0][1], None), (None, rows[1][1], rows[1][2])]
+    learned = {}
+    for i, t, x in rows:
+        if t and x and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            learned.setdefault(x, set()).add(t.encode())
+    got = {(r["doc_id"]): r for r in ppm_langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        r = got[i]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        need = {x: bits(t.encode(), texts) for x, texts in learned.items()}
+        best = min(sorted(need), key=need.get)
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(2.0 ** -min(b - need[best], 1000) for b in need.values()), abs=0.05)
+        assert r["bits_per_byte"] == pytest.approx(need[best] / len(t.encode()), abs=1 / ppm_langid.SCALE)
+
+
+def test_the_stage_rejects_what_no_language_explains(spark, documents):
+    rng = np.random.default_rng(3)
+    noise = ["".join(chr(int(x)) for x in rng.integers(0x21, 0x7F, 600)) for _ in range(20)] + ["".join(chr(int(x)) for x in rng.integers(0x4E00, 0x9000, 300)) for _ in range(20)]
+    docs = documents.select("doc_id", "text", "lang")
+    both = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")).unionByName(docs.where("doc_id < 0"))
+    kept = {r["doc_id"] for r in ppm_langid.keep_known(both).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**6]
+    known = {r["doc_id"] for r in ppm_langid.identify(docs).where("lang_pred != 'und'").collect()}
+    assert len(known - kept) <= len(known) / 200
+    assert ppm_langid.keep_known(docs.limit(0)).count() == 0
+
+
 # Quality rules
 
 
