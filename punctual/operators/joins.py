@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.formulas import EARTH_MILES, haversine
+from punctual.sources.sinks import checkpointed
 
 
 def join_dim(df: DataFrame, dim: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -41,6 +42,108 @@ def hour_join(fact: DataFrame, hourly: DataFrame, *, entity: str, hour: str, rol
     return out.drop("_hour")
 
 
+def stored_hour_join(fact: DataFrame, hourly: DataFrame, *, entity: str, hour: str, day: str, roles: dict[str, str], fact_hour: Column, how: str = "inner") -> DataFrame:
+    """`hour_join` with readings that are stored in one partition a day (column `day`, the date of `hour`).
+
+    The days that the fact needs, a row each, are broadcast to the readings' scan, which then opens the partitions of those days only
+    (dynamic partition pruning): a quarter of facts reads a quarter of readings. The equality of days is part of the join as well, so
+    readings are never looked for in another day.
+    """
+    known = fact.withColumn("_hour", fact_hour).withColumn("_day", F.to_date("_hour"))
+    days = known.where("_day is not null").select(F.col("_day").alias(day)).distinct()  # as many rows as there are days
+    near = hourly.join(F.broadcast(days), day, "left_semi")
+    out = known
+    for role, col in roles.items():
+        side = near.select(*[F.col(c).alias(f"{role}_{c}") for c in near.columns])
+        out = out.join(side, (F.col(col) == F.col(f"{role}_{entity}")) & (F.col("_hour") == F.col(f"{role}_{hour}")) & (F.col("_day") == F.col(f"{role}_{day}")), how).drop(f"{role}_{day}")
+    return out.drop("_hour", "_day")
+
+
+#: Levels of the grid below: a cell of the last is about 300 m high.
+LEVELS = 16
+
+
+def _cell(level: Column | int, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Row and column of the cell of a level (0: the whole globe) in which a place lies."""
+    n = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+    at = lambda share: F.least(F.floor(share * n), n - 1).cast("long")
+    return at((lat + 90) / 180), at((lon + 180) / 360)
+
+
+def quadtree(points: DataFrame, *, most: int, levels: int = LEVELS) -> DataFrame:
+    """level, row, col, n, leaf of every cell that holds points (columns lat, lon): a leaf has at most `most` points, or is of the last level, and no leaf lies in another.
+
+    Places are counted once in the smallest cells; the larger ones are sums of these counts.
+    """
+    row, col = _cell(levels, F.col("lat"), F.col("lon"))
+    smallest = points.where("lat is not null and lon is not null").groupBy(row.alias("r"), col.alias("c")).agg(F.count("*").alias("n"))
+    above = smallest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), levels - F.col("level"))).cast("long")
+    cells = above.groupBy("level", up("r").alias("row"), up("c").alias("col")).agg(F.sum("n").alias("n"))
+    small = (F.col("n") <= most) | (F.col("level") == levels)
+    parents = cells.where(~small).select((F.col("level") + 1).alias("level"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.lit(True).alias("_split"))
+    marked = cells.withColumns({"_r": F.floor(F.col("row") / 2).cast("long"), "_c": F.floor(F.col("col") / 2).cast("long")}).join(parents, ["level", "_r", "_c"], "left")
+    return marked.select("level", "row", "col", "n", (small & (F.col("_split") | (F.col("level") == 0))).alias("leaf"))
+
+
+def knn_adaptive(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, k: int = 5, miles: float = 20.0, radius: float = EARTH_MILES, most: int = 256, levels: int = LEVELS) -> DataFrame:
+    """left_key, right_key, miles, rank: the same as `knn_within`, on cells that are the smaller the denser places lie.
+
+    The places of `right` lie in the leaves of a quadtree, so one dense city isn't one cell. A row of `left` looks no further than
+    the size of the smallest cell around it that holds k places, and meets the leaves that this circle touches. Ties by key; null coordinates find nothing.
+    Work grows with the k neighbours of a row, not with how many places lie within `miles`.
+    """
+    tree = checkpointed(quadtree(right, most=most, levels=levels))
+    degree = radius * 3.141592653589793 / 180  # miles of a degree of latitude
+    side = lambda level: F.lit(180.0) / F.pow(F.lit(2.0), level)  # noqa: E731  height of a cell in degrees; it is twice as wide
+    every = F.sequence(F.lit(0), F.lit(levels))
+
+    # how far each row has to look
+    a = left.select(F.col(left_key).alias("_a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null").distinct()
+    around = a.withColumn("level", F.explode(every))
+    row, col = _cell(F.col("level"), F.col("_lat"), F.col("_lon"))
+    enough = tree.where(F.col("n") >= k).select("level", F.col("row").alias("_row"), F.col("col").alias("_col"))
+    fit = around.withColumns({"_row": row, "_col": col}).join(enough, ["level", "_row", "_col"], "left_semi").groupBy("_a", "_lat", "_lon").agg(F.max("level").alias("_fit"))
+    reach = F.least(F.lit(float(miles)), F.coalesce(3 * side(F.col("_fit")) * degree, F.lit(float(miles)))) * 1.000001 + 0.0002
+    b = a.join(fit, ["_a", "_lat", "_lon"], "left").withColumn("_reach", reach).drop("_fit")
+
+    # the cells of one level that its circle touches: a level whose cells are no smaller than the circle
+    up = F.col("_reach") / degree
+    steep = F.least(F.lit(90.0), F.abs("_lat") + up)
+    wide = F.when(steep < 89.0, up / F.cos(F.radians(steep)) * 1.01).otherwise(F.lit(360.0))
+    level = F.greatest(F.lit(0), F.least(F.lit(levels), F.floor(F.log2(F.least(180.0 / (2 * up), 360.0 / (2 * wide)))))).cast("int")
+    n = F.pow(F.lit(2.0), F.col("level"))
+    low = lambda share: F.floor(F.greatest(F.lit(0.0), share) * n).cast("long")
+    span = b.withColumns({"_wide": wide, "level": F.when(wide >= 180, F.lit(0)).otherwise(level)})
+    rows = F.sequence(low((F.col("_lat") - up + 90) / 180), F.least(F.floor((F.col("_lat") + up + 90) / 180 * n), n - 1).cast("long"))
+    cols = F.sequence(F.floor((F.col("_lon") - F.col("_wide") + 180) / 360 * n).cast("long"), F.floor((F.col("_lon") + F.col("_wide") + 180) / 360 * n).cast("long"))
+    at = span.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(F.when(F.col("level") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(cols, lambda c: F.pmod(c, n.cast("long")))))))
+    leaves = tree.where("leaf").select(F.col("level").alias("_leaf"), F.col("row").alias("_lr"), F.col("col").alias("_lc"))
+    half = lambda c, by: F.floor(F.col(c) / F.pow(F.lit(2.0), by)).cast("long")
+    inside = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_leaf"))))
+    inside = inside.withColumns({"_row": half("_lr", F.col("_leaf") - F.col("level")), "_col": half("_lc", F.col("_leaf") - F.col("level"))})
+    larger = at.withColumn("_leaf", F.explode(F.when(F.col("level") > 0, F.sequence(F.lit(0), F.col("level") - 1)).otherwise(F.array().cast("array<int>"))))
+    larger = larger.withColumns({"_lr": half("_row", F.col("level") - F.col("_leaf")), "_lc": half("_col", F.col("level") - F.col("_leaf"))})
+    keep = ["_a", "_lat", "_lon", "_reach", "_leaf", "_lr", "_lc"]
+    touched = at.join(inside, ["level", "_row", "_col"]).select(*keep).unionByName(larger.join(leaves, ["_leaf", "_lr", "_lc"]).select(*keep)).distinct()
+    # of leaves that lie in those cells only what the circle's box touches
+    top, bottom = (F.col("_lr") + 1) * side(F.col("_leaf")) - 90, F.col("_lr") * side(F.col("_leaf")) - 90
+    touched = touched.where((F.col("_lat") + up >= bottom) & (F.col("_lat") - up <= top))
+
+    # the places of those leaves
+    c = right.select(F.col(right_key).alias("_b"), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2")).where("_lat2 is not null and _lon2 is not null")
+    r2, c2 = _cell(levels, F.col("_lat2"), F.col("_lon2"))
+    smallest = c.withColumns({"_r": r2, "_c": c2})
+    homes = smallest.select("_r", "_c").distinct().withColumn("_leaf", F.explode(every))
+    homes = homes.withColumns({"_lr": half("_r", levels - F.col("_leaf")), "_lc": half("_c", levels - F.col("_leaf"))}).join(leaves, ["_leaf", "_lr", "_lc"])
+    placed = smallest.join(homes, ["_r", "_c"]).drop("_r", "_c")
+    met = touched.join(placed, ["_leaf", "_lr", "_lc"]).withColumn("miles", haversine(F.col("_lat"), F.col("_lon"), F.col("_lat2"), F.col("_lon2"), radius))
+    near = met.where((F.col("miles") <= miles) & (F.col("miles") <= F.col("_reach")))
+    w = Window.partitionBy("_a").orderBy("miles", "_b")
+    ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), F.round("miles", 4).alias("miles"), "rank")
+
+
 def knn_within(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, k: int = 5, miles: float = 20.0, radius: float = EARTH_MILES) -> DataFrame:
     """left_key, right_key, miles, rank: up to k rows of `right` within `miles` of each of `left` (columns lat, lon).
 

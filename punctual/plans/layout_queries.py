@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.functions import timeops
 from punctual.operators import aggregates as agg
-from punctual.operators import graph, sketches
-from punctual.plans.queries import EDGE_SQL, _edges, _rank_sql
+from punctual.operators import graph, joins, sketches
+from punctual.plans.queries import EDGE_SQL, PLACES, _edges, _hourly, _place, _rank_sql, r4
 from punctual.plans.registry import Tables, query
 from punctual.plans.store_queries import place
 from punctual.sources import readers, sinks
@@ -90,3 +91,27 @@ def a15_corr_wide(t: Tables) -> DataFrame:
     return agg.corr_wide(t.lineitem.select(*[c.alias(n) for n, c in cols.items()]), list(cols)).withColumn("r", F.round("r", 6))
 
 
+
+
+@query("""
+WITH h AS (SELECT user_id, date_trunc('hour', ts + INTERVAL 59 MINUTE) AS hour, round(avg(value), 4) AS avg_value, max((event_type = 'error')::int) AS error FROM events GROUP BY ALL)
+SELECT e.event_id, e.user_id, a.avg_value AS own_avg_value, a.error AS own_error FROM events e JOIN h a ON a.user_id = e.user_id AND a.hour = date_trunc('hour', e.ts - INTERVAL 2 HOUR)
+WHERE e.ts >= TIMESTAMP '2024-01-05' AND e.ts < TIMESTAMP '2024-01-09'
+""")
+def j4_stored_hour_join(t: Tables) -> DataFrame:
+    """Four days of events beside readings of a month that are stored by day: of these only the days needed are read."""
+    hourly = _hourly(t).select("user_id", "hour", r4("avg_value").alias("avg_value"), "error", F.to_date("hour").alias("day"))
+    sinks.write_partitioned(hourly, path := place(t), ["day"])
+    fact = t.events.where("ts >= timestamp_ntz'2024-01-05' AND ts < timestamp_ntz'2024-01-09'").select("event_id", "user_id", "ts")
+    at = timeops.lead_hour(F.col("ts").cast("timestamp"))
+    joined = joins.stored_hour_join(fact, t.spark.read.parquet(path), entity="user_id", hour="hour", day="day", roles={"own": "user_id"}, fact_hour=at)
+    return joined.select("event_id", "user_id", "own_avg_value", "own_error")
+
+
+@query(f"""
+WITH {PLACES}, d AS (SELECT c_custkey, s_suppkey, 2 * 3958.756 * asin(sqrt(least(1.0, pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(c.lon)) / 2), 2)))) AS miles FROM c, s),
+k AS (SELECT c_custkey, s_suppkey, round(miles, 4) AS miles, row_number() OVER (PARTITION BY c_custkey ORDER BY miles, s_suppkey) AS rank FROM d WHERE miles <= 60)
+SELECT c_custkey, s_suppkey, miles, rank::int AS rank FROM k WHERE rank <= 3
+""")
+def j5_knn_adaptive(t: Tables) -> DataFrame:
+    return joins.knn_adaptive(t.customer.select("c_custkey", *_place("c_custkey")), t.supplier.select("s_suppkey", *_place("s_suppkey")), left_key="c_custkey", right_key="s_suppkey", k=3, miles=60.0, most=8)

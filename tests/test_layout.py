@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from punctual.operators import aggregates, graph, sketches
+from punctual.operators import aggregates, graph, joins, sketches
 from punctual.sources import readers
 from punctual.streaming.ingest import ingest_new_files
 
@@ -203,3 +203,57 @@ def test_each_file_is_ingested_once(spark, tmp_path):
     assert run() == 0 and len(seen()) == 30
     put(3)
     assert run() == 1 and seen() == [100 * k + i for k in range(4) for i in range(10)]
+
+
+# Joins
+
+
+def test_stored_readings_are_pruned_by_day(spark, tmp_path):
+    hours = spark.range(24 * 90).select((F.col("id") % 5).alias("station"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("hour"), F.col("id").alias("v")).withColumn("day", F.to_date("hour"))
+    hours.write.partitionBy("day").parquet(str(tmp_path / "hours"))
+    spark.range(5000).select("id", (F.col("id") % 5).alias("s"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 1555).alias("ts")).write.parquet(str(tmp_path / "facts"))
+    stored, facts = spark.read.parquet(str(tmp_path / "hours")), spark.read.parquet(str(tmp_path / "facts")).where("ts >= '2024-02-01' AND ts < '2024-02-10'")
+    at = F.date_trunc("hour", F.col("ts"))
+    got = joins.stored_hour_join(facts, stored, entity="station", hour="hour", day="day", roles={"own": "s"}, fact_hour=at)
+    want = joins.hour_join(facts, stored.drop("day"), entity="station", hour="hour", roles={"own": "s"}, fact_hour=at)
+    assert sorted(map(tuple, got.select("id", "own_v").collect())) == sorted(map(tuple, want.select("id", "own_v").collect())) and want.count() > 50
+    assert "dynamicpruning" in plan_of(got)
+    got.write.format("noop").mode("overwrite").save()
+    days = spark.read.parquet(str(tmp_path / "hours")).join(F.broadcast(facts.select(F.to_date("ts").alias("day")).distinct()), "day", "left_semi")
+    assert days.select("day").distinct().count() == 9
+
+
+def brute_neighbours(a, b, k, miles):
+    from math import asin, cos, radians, sin, sqrt
+
+    want = set()
+    for i, la, lo in a:
+        near = []
+        for j, lb, lp in b:
+            h = sin(radians(lb - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lb)) * sin(radians(lp - lo) / 2) ** 2
+            if (d := 2 * 3958.756 * asin(sqrt(min(1, h)))) <= miles:
+                near.append((d, j))
+        want |= {(i, j, r) for r, (_, j) in enumerate(sorted(near)[:k], 1)}
+    return want
+
+
+@pytest.mark.parametrize(("k", "miles", "most"), [(1, 20.0, 4), (5, 60.0, 10), (5, 5.0, 3), (3, 2000.0, 16)])
+def test_neighbours_on_an_adaptive_grid(spark, k, miles, most):
+    rng = np.random.default_rng(13)
+    city = lambda n, s: [(float(40.7 + x), float(-74.0 + y)) for x, y in rng.normal(0, s, (n, 2))]
+    spread = [(float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for _ in range(60)]
+    odd = [(10.0, 179.99), (10.01, -179.99), (89.9, 0.0), (89.9, 170.0), (-90.0, 0.0), (90.0, 180.0), (0.0, 0.0), (40.7, -74.0), (40.7, -74.0)]
+    a = [(i, *p) for i, p in enumerate(city(50, 0.02) + city(20, 1.5) + spread[:25] + odd)]
+    b = [(i, *p) for i, p in enumerate(city(250, 0.01) + city(60, 1.0) + spread[25:] + odd)]
+    frames = [spark.createDataFrame([*x, (-1, None, 1.0)], f"{n} int, lat double, lon double") for n, x in (("a", a), ("b", b))]
+    got = joins.knn_adaptive(*frames, left_key="a", right_key="b", k=k, miles=miles, most=most).collect()
+    assert {(r["a"], r["b"], r["rank"]) for r in got} == brute_neighbours(a, b, k, miles)
+
+
+def test_no_leaf_holds_too_much(spark):
+    rng = np.random.default_rng(14)
+    places = [(float(40 + x), float(-74 + y)) for x, y in rng.normal(0, 0.05, (3000, 2))] + [(1.0, 1.0)] * 30
+    tree = joins.quadtree(spark.createDataFrame(places, "lat double, lon double"), most=20)
+    leaves = tree.where("leaf").collect()
+    assert sum(r["n"] for r in leaves) == len(places)
+    assert all(r["n"] <= 20 or r["level"] == joins.LEVELS for r in leaves) and max(r["level"] for r in leaves) > 8
