@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
@@ -16,6 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.operators.metrics import segment_metrics
 from punctual.operators.windows import latest_per
 from punctual.sources.sinks import append_log, cached
 
@@ -186,6 +188,23 @@ def grid_scores(model: TemporalCrossValidatorModel, grid: list[dict], df: DataFr
     return df.sparkSession.createDataFrame(rows, "params string, score double")
 
 
+def run_summary(name: str, family: str, found: TemporalCrossValidatorModel, grid: list[dict], predictions: dict[str, DataFrame], *, seconds: float, strategies: dict[str, str] | None = None, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One nested record of a run: model, family, seconds, strategies, parameters of the best setting, settings with their scores, and datasets with
+    their confusion counts and scores. `record_run` adds it to the history.
+
+    All datasets are scored in one pass; those without rows have no entry.
+    """
+    said = [{p.name: str(v) for p, v in g.items()} for g in grid]
+    spark = next(iter(predictions.values())).sparkSession
+    settings = [(x, float(s), i == found.bestIndex) for i, (x, s) in enumerate(zip(said, found.avgMetrics, strict=True))]
+    schema = "model string, family string, seconds double, strategies map<string,string>, parameters map<string,string>, settings array<struct<params: map<string,string>, score: double, best: boolean>>"
+    run = spark.createDataFrame([(name, family, float(seconds), strategies or {}, said[found.bestIndex], settings)], schema)
+    rows = reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("dataset"), F.col(label).alias("_y"), F.col(prediction).alias("_p")) for n, p in predictions.items()])
+    scored = segment_metrics(rows, ["dataset"], "_y", "_p")
+    told = scored.agg(F.sort_array(F.collect_list(F.struct(*scored.columns))).alias("datasets"))  # a row for each dataset
+    return run.join(F.broadcast(told))
+
+
 def lr_grid(lr: LogisticRegression, reg: list[float] = (0.0, 0.01, 0.1, 0.5), elastic: list[float] = (0.0, 0.5, 1.0), iters: list[int] = (10, 20, 30)) -> list[dict]:
     return ParamGridBuilder().addGrid(lr.regParam, list(reg)).addGrid(lr.elasticNetParam, list(elastic)).addGrid(lr.maxIter, list(iters)).build()
 

@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from punctual.plans import layout_queries, model_queries, queries, store_queries  # noqa: F401  they fill the registry
+from punctual.plans import layout_queries, model_queries, queries, report_queries, store_queries  # noqa: F401  they fill the registry
 from punctual.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
