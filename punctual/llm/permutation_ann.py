@@ -27,6 +27,8 @@ from punctual.llm.common import ship, written
 #: recall of 0.9 takes most cells (PROBE); where there are some, a smaller share will do.
 PIVOTS, PLACES, PROBE, RERANK = 2048, 64, 0.85, 0.1
 ROWS_PER_CELL, MOST_CELLS, ROWS_PER_BLOCK = 4096, 1024, 8192
+#: Queries that meet a block in one task, about.
+QUERIES_PER_GROUP = 16_384
 
 
 def usable(vectors: DataFrame, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -136,8 +138,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, query: str = "id % 20 = 0", pivo
     query row has its own result, and only itself is left out of it. Vectors of different sizes have
     no inner product: those of one size are searched by themselves.
 
-    A vector is shuffled once, a query once for each block of the cells it goes to. To the driver
-    come the pivots and one row for each size and cell.
+    A vector is shuffled once for every QUERIES_PER_GROUP queries, a query once for each block of the cells it goes to; so a group has a
+    bounded number of both. To the driver come the pivots and one row for each size and cell.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -170,10 +172,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, query: str = "id % 20 = 0", pivo
     # cells with more than a block's rows are split; one row for each cell comes back
     counts = posted.groupBy("size", "cell").count().collect()
     splits = spark.createDataFrame([(r["size"], r["cell"], max(1, -(-r["count"] // ROWS_PER_BLOCK))) for r in counts], "size int, cell int, parts int")
+    # more queries than one group may hold are cut into slices, each of which meets the block anew
+    asking = good.where(query).groupBy("size").count().collect()
+    slices = spark.createDataFrame([(r["size"], max(1, -(-r["count"] // QUERIES_PER_GROUP))) for r in asking], "size int, slices int")
     part: Column = F.pmod(F.xxhash64("id", "v", F.lit("part")), F.col("parts")).cast("int")
     left = posted.join(F.broadcast(splits), ["size", "cell"]).withColumn("part", part).drop("parts")
+    left = left.join(F.broadcast(slices), "size").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     right = placed(good.where(query), ["id", "row", "v", "size"], probe).withColumn("cell", F.explode("cells")).drop("cells")
     right = right.join(F.broadcast(splits), ["size", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = right.join(F.broadcast(slices), "size").withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")).drop("slices")
 
     def search(vecs: pa.Table, asks: pa.Table) -> pa.Table:
         query_ids, rows = asks.column("id").to_numpy(), asks.column("row").to_numpy()
@@ -185,7 +192,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, query: str = "id % 20 = 0", pivo
             found = search_block(*mine, query_ids, _matrix(asks.column("v")), _unpack(asks.column("places")), k, rerank)
         return pa.table({"row": pa.array(rows[found[0]], pa.int64()), "query_id": pa.array(query_ids[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    by = ["size", "cell", "part"]
+    by = ["size", "cell", "part", "slice"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, "row long, query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

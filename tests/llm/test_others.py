@@ -196,3 +196,18 @@ def test_odd_vectors(spark):
     assert got == sorted([(20, 1, 1, 1.0), (20, 2, 20, 0.0), (20, 3, 20, 0.0), *[(20, 1, 1, 1.0), (20, 2, 20, 1.0), (20, 3, 20, 0.0)] * 2, (40, 1, 2, 3.0)])
     assert permutation_ann.nearest(df.limit(0)).count() == 0
     assert permutation_ann.nearest(df.where("vec_id = 0")).count() == 0
+
+
+def test_more_queries_than_a_group_holds(spark, monkeypatch):
+    """Queries are cut into slices; every query meets every block it would have met."""
+    rng = np.random.default_rng(21)
+    rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    told = lambda: sorted(tuple(r) for r in permutation_ann.nearest(df, k=5, query="id % 2 = 0", probe=1.0, rerank=1.0).select("query_id", "rank", "vec_id", "score").collect())
+    whole = told()
+    monkeypatch.setattr(permutation_ann, "QUERIES_PER_GROUP", 16)
+    assert told() == whole and len(whole) == 300 * 5
+    x = np.array([v for _, v in rows])
+    near = x @ x.T
+    np.fill_diagonal(near, -np.inf)
+    assert {(q, r): v for q, r, v, _ in whole} == {(q, r): int(v) for q in range(0, 600, 2) for r, v in enumerate(np.lexsort((np.arange(600), -near[q]))[:5], 1)}
