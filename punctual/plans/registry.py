@@ -14,12 +14,15 @@ class Tables:
     """The tables of a folder by name, read when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
 
 
 def query(sql: str | None = None):

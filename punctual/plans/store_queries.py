@@ -21,7 +21,7 @@ def place(t: Tables) -> str:
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def s1_read_parquet(t: Tables) -> DataFrame:
-    return readers.read_parquet(t.spark, f"{t._folder}/orders.parquet", cols=["o_orderkey", "o_custkey"])
+    return readers.read_parquet(t.spark, t.path("orders"), cols=["o_orderkey", "o_custkey"])
 
 
 @query("SELECT c_custkey, c_nationkey::int AS c_nationkey, c_mktsegment FROM customer")
