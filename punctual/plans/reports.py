@@ -24,9 +24,9 @@ def delay_summaries(df: DataFrame, reports: dict[str, list[str]], label: str, *,
     values form groups of their own; rows with a null label are left out.
     """
     columns = list(dict.fromkeys(c for cols in reports.values() for c in cols))
-    counts = df.where(F.col(label).isNotNull()).groupBy(*columns).agg(F.count_if(F.col(label) == 0).alias("o"), F.count_if(F.col(label) == 1).alias("d"))
-    counts = counts.where("o > 0 AND d > 0") if both else counts
-    sets = counts.groupingSets([list(c) for c in reports.values()], *columns).agg(F.sum("o").alias("ontime"), F.sum("d").alias("delayed"), F.grouping_id().alias("_set"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(*columns).agg(F.count_if(F.col(label) == 0).alias("_o"), F.count_if(F.col(label) == 1).alias("_d"))
+    counts = counts.where("_o > 0 AND _d > 0") if both else counts
+    sets = counts.groupingSets([list(c) for c in reports.values()], *columns).agg(F.sum("_o").alias("ontime"), F.sum("_d").alias("delayed"), F.grouping_id().alias("_set"))
     mask = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols) for name, cols in reports.items()}
     if len(set(mask.values())) < len(mask):
         raise ValueError("two reports have the same columns")
