@@ -12,49 +12,59 @@ from punctual.llm.common import ship, table
 
 
 def op1_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, a digest of the ids and whether they decode to the text, of every document; see `sentencepiece_lattice.summarise`."""
     return sentencepiece_lattice.summarise(table(spark, sf_dir, "documents"), bin_completion.tokenizer_path("piece_bpe_32k.model"))
 
 
 def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; see `ppm_langid.identify`."""
     ship(spark)
     return ppm_langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op3_js_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances and verdict of every document, distances to six digits; see `js_quality.quality`."""
     found = js_quality.quality(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_common", "js")})
 
 
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see `golay_simhash.near_duplicates`."""
     ship(spark)
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with its parent and place in its thread; see `quote_linking.link`."""
     return quote_linking.link(table(spark, sf_dir, "conversations"))
 
 
 def op6_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; see `url_digest.judge`."""
     ship(spark)
     return url_digest.judge(table(spark, sf_dir, "pages"))
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn by the ratio of the labelled good ones' model to that of all; see `importance_resampling.resample`."""
     ship(spark)
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences; see `bin_completion.pack`."""
     ship(spark)
     return bin_completion.pack(table(spark, sf_dir, "documents"))
 
 
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every twentieth vector; see `permutation_ann.nearest`."""
     ship(spark)
     return permutation_ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts of every document; see `toxicity_chain.classify`."""
     return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
