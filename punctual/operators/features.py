@@ -15,8 +15,9 @@ def fit_target_mean(train: DataFrame, key: str, label: str) -> DataFrame:
 
 def target_mean_encode(train: DataFrame, df: DataFrame, key: str, label: str, name: str = "target_mean") -> DataFrame:
     """`df` with the training mean of its key; keys that training lacks get the mean of all."""
-    means = fit_target_mean(train, key, label).withColumnRenamed("target_mean", "_mean")
-    overall = train.agg(F.avg(label).alias("_all"))
+    groups = train.groupBy(key).agg(F.sum(label).alias("_yes"), F.count(label).alias("_n"))
+    means = groups.select(key, F.try_divide("_yes", "_n").alias("_mean"))
+    overall = groups.agg(F.try_divide(F.sum("_yes"), F.sum("_n")).alias("_all"))  # of the same groups: training rows are shuffled once
     joined = df.join(means, key, "left").join(F.broadcast(overall))
     return joined.withColumn(name, F.coalesce("_mean", "_all")).drop("_mean", "_all")
 

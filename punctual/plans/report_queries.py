@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.operators import aggregates as agg
-from punctual.operators import features, folds, metrics, sampling, tuning, windows
+from punctual.operators import descent, features, folds, metrics, sampling, tuning, windows
 from punctual.plans import reports
 from punctual.plans.model_queries import _train
 from punctual.plans.queries import HASH_SQL, KEYS, errors, returns
@@ -143,3 +143,24 @@ def x4_quarter_of_rows(t: Tables) -> DataFrame:
     out = sampling.SampleAssembler(inputCols=["l_quantity", "l_tax"], labelCol="label", keyCols=KEYS, fraction=0.25).transform(returns(t))
     return out.agg(F.count("*").alias("n"), F.round(F.sum(F.get("features", F.lit(0))), 2).alias("quantity"), F.round(F.sum(F.get("features", F.lit(1))), 2).alias("tax"), F.sum("label").cast("double").alias("label"))
 
+
+def _history_sql(steps: int, rate: float = 0.5) -> str:
+    """Losses of both sets with the weights of each step, which are learned from the early rows."""
+    parts = ["w0 AS (SELECT 0.0::double AS a, 0.0::double AS b, 0.0::double AS c)"]
+    for i in range(steps):
+        parts.append(f"g{i} AS MATERIALIZED (SELECT avg(p - y) AS ga, avg((p - y) * x) AS gb, avg((p - y) * z) AS gc FROM (SELECT *, 1 / (1 + exp(-(a + b * x + c * z))) AS p FROM t, w{i} WHERE early))")
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT a - {rate} * ga AS a, b - {rate} * gb AS b, c - {rate} * gc AS c FROM w{i}, g{i})")
+    rows = " UNION ALL ".join(
+        f"SELECT CASE WHEN early THEN 'train' ELSE 'test' END AS dataset, {i}::int AS step, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS loss, round(1.25 * sum(p * y) / (1.25 * sum(p * y) + 0.25 * sum((1 - p) * y) + sum(p * (1 - y))), 6) AS soft_fbeta FROM (SELECT *, 1 / (1 + exp(-(a + b * x + c * z))) AS p FROM t, w{i}) GROUP BY early"
+        for i in range(steps + 1)
+    )
+    return f"WITH t AS (SELECT l_quantity / 50.0::double AS x, l_discount * 10.0::double AS z, CASE WHEN l_returnflag = 'R' THEN 1.0::double ELSE 0.0::double END AS y, year(l_shipdate) < 1997 AS early FROM lineitem), {', '.join(parts)} {rows}"
+
+
+@query(_history_sql(2))
+def l5_loss_history(t: Tables) -> DataFrame:
+    """Losses of training and later rows before each step and after the last, with real weights."""
+    rows = t.lineitem.select((F.col("l_quantity") / 50.0).cast("double").alias("x"), (F.col("l_discount") * 10.0).cast("double").alias("z"), (F.col("l_returnflag") == "R").cast("double").alias("label"), (F.year("l_shipdate") < 1997).alias("early"))
+    found = descent.lr_gradient_descent(rows.where("early"), ["x", "z"], "label", steps=2)
+    history = descent.loss_history({"train": rows.where("early"), "test": rows.where("not early")}, found, ["x", "z"], "label")
+    return history.select("dataset", "step", F.round("loss", 6).alias("loss"), F.round("soft_fbeta", 6).alias("soft_fbeta"))
