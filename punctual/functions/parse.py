@@ -85,7 +85,7 @@ def contains_any_flags(text: Column, groups: dict[str, list[str]]) -> dict[str,
     return {name: flag(reduce(lambda a, b: a | b, [text.contains(c) for c in codes])) for name, codes in groups.items()}
 
 
-# Packed fields: name of each part, and for numbers what they are divided by (None: text).
+# Packed fields, by name of each part, and for numbers what they are divided by (None: text).
 ISD_FIELDS = {
     "WND": [("angle", None), ("angle_quality", 1), ("type", None), ("speed", 10), ("speed_quality", None)],
     "CIG": [("height", 1), ("quality", None), ("determination", None), ("cavok", None)],
