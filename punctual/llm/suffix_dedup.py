@@ -10,8 +10,8 @@ Spark cuts these rows into ranges by sampled splitters on the leading bytes of t
 of a range sorts its suffixes by multikey quicksort, eight bytes a key, and likewise the texts to the left,
 backwards; common lengths of neighbours then tell by comparison of whole numbers which strings of LENGTH bytes
 are equal: those whose left part of o bytes and right part of LENGTH - o bytes both lie in one run. As
-splitters are leading bytes that all equal strings share, no equal strings lie on two sides of a boundary. Rows that
-are equal throughout are only counted, so a passage of any number of documents is one row of a bucket. Where
+splitters are leading bytes that all equal strings share, no equal strings lie on two sides of a boundary. Rows with
+equal texts around their anchors are summed up before, so a passage of any number of documents is one row of a bucket. Where
 the suffixes with the same leading bytes are still more than a bucket holds, they are dealt anew, by longer
 leading bytes: those of the strings that reach far to the left, and those of the others. In the end the
 leading bytes are the whole string.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.common import ship, written
@@ -221,76 +221,52 @@ def repeated(contexts: list[bytes], his: list[int], copies: np.ndarray, length:
     return out
 
 
-FOUND = "t binary, first long, last long, lead binary, context binary, hi int, place long"
-FOUND_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+GROUPED_NAMES = [*CONTEXT_NAMES, "again"]
+FOUND = "t binary, first long, last long, lead binary, context binary, hi int, place long, again boolean"
+FOUND_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
 
 
 def _search(batches: Iterator[pa.RecordBatch], length: int, low: int, high: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by lead, context, hi, text and place: ranges (t, first, last) of places where repeated strings begin.
+    """Over rows sorted by lead, one for each context, hi: ranges (t, first, last) of places where repeated strings begin.
 
-    A lead with more than `bucket` different contexts comes out as it went in, one row a context, to be dealt anew.
+    A lead with more than `bucket` contexts comes out as it went in, to be dealt anew.
     """
     out: list[tuple] = []
-    held: list[tuple] = []  # (lead, context, hi, t, place) of the bucket; contexts differ
-    copies: list[bool] = []  # whether a row's context occurs again
-    over = False  # the current lead is dealt anew
+    held: list[tuple] = []  # the rows of a bucket
+    over: bytes | None = None  # the lead that is dealt anew
     start = 0  # of the current lead in held
-    last = first = None  # the row before this one, and the first with its context
-    told = False
-
-    def whole(r: tuple) -> None:
-        lo = r[2] - (len(r[1]) - length)
-        a, b = max(lo, low), min(r[2], high)
-        if a <= b:
-            out.append((r[3], r[4] - b, r[4] - a, None, None, None, None))
 
     def passed(r: tuple) -> None:
-        out.append((r[3], None, None, r[0], r[1], r[2], r[4]))
+        out.append((r[3], None, None, *r[:3], r[4], r[5]))
 
     def ended() -> None:
-        spans = repeated([r[1] for r in held], [r[2] for r in held], np.array(copies, bool), length, low, high)
+        spans = repeated([r[1] for r in held], [r[2] for r in held], np.array([r[5] for r in held], bool), length, low, high)
         for r, found in zip(held, spans, strict=True):
-            out.extend((r[3], r[4] - b, r[4] - a, None, None, None, None) for a, b in found)
+            out.extend((r[3], r[4] - b, r[4] - a, None, None, None, None, None) for a, b in found)
         held.clear()
-        copies.clear()
 
     def batch() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, FOUND_KINDS, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
+    lead = None
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in CONTEXT_NAMES), strict=True):
-            if row == last:
-                continue  # the same place of the same text
-            new_lead, new = last is None or row[0] != last[0], last is None or row[:3] != last[:3]
-            last = row
-            if not new:  # all of it occurs again
-                whole(row)
-                if not over:
-                    copies[-1] = True
-                elif not told:
-                    whole(first)
-                    told = True
+        for row in zip(*(b.column(c).to_pylist() for c in GROUPED_NAMES), strict=True):
+            if row[0] != lead:
+                lead = row[0]
+                if len(held) >= bucket // 2:
+                    ended()
+                start = len(held)
+            if over != lead and len(held) - start >= bucket and high > low:
+                over = lead
+                for r in held[start:]:
+                    passed(r)
+                del held[start:]
+            if over == lead:
+                passed(row)
             else:
-                first, told = row, False
-                if new_lead:
-                    over = False
-                    if len(held) >= bucket // 2:
-                        ended()
-                    start = len(held)
-                if not over and len(held) - start >= bucket and high > low:
-                    over = True
-                    for r, again in zip(held[start:], copies[start:], strict=True):
-                        passed(r)
-                        if again:
-                            whole(r)
-                    del held[start:], copies[start:]
-                if over:
-                    passed(row)
-                else:
-                    held.append(row)
-                    copies.append(False)
+                held.append(row)
             if len(out) > 10_000:
                 yield batch()
     if held:
@@ -300,15 +276,26 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, low: int, high: int,
 
 
 def starts(rows: DataFrame, *, length: int, gram: int, bucket: int) -> DataFrame:
-    """(t, first, last): ranges of places of a text at which a repeated string begins, from rows of `_contexts`."""
+    """(t, first, last): ranges of places of a text at which a repeated string begins, from rows of `_contexts`.
+
+    Rows are summed up by context before they are dealt to ranges, so a passage of a third of all texts is one row there; all strings of
+    a context that occurs again are repeated, which a join tells its rows.
+    """
     spark = rows.sparkSession
+    place = F.struct("t", "place")
+    summed = rows.groupBy("lead", "context", "hi").agg(F.min(place).alias("one"), F.max(place).alias("other"))
+    grouped = written(summed.select("lead", "context", "hi", "one.t", "one.place", (F.col("one") != F.col("other")).alias("again")), "grouped")
+    name = F.struct(digest(F.col("context")).alias("c"), "hi").alias("name")
+    repeated_ = grouped.where("again").select(name)
+    all_of = rows.select(name, "t", (F.col("place") - F.col("hi")).alias("first"), (F.col("place") - F.col("hi") + F.length("context") - length).alias("last"))
+    whole = all_of.join(repeated_, "name").select("t", "first", "last").distinct()
 
     def level(rows: DataFrame, low: int, high: int) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartitionByRange(n, "lead").sortWithinPartitions(*CONTEXT_NAMES)
+        dealt = rows.repartitionByRange(n, "lead").sortWithinPartitions("lead").select(*GROUPED_NAMES)
         return written(dealt.mapInArrow(lambda b: _search(b, length, low, high, bucket), FOUND), "ranges")
 
-    found, todo = [], [(rows, 0, length - gram)]
+    found, todo = [whole], [(grouped, 0, length - gram)]
     while todo:
         now, low, high = todo.pop()
         got = level(now, low, high)
@@ -319,7 +306,7 @@ def starts(rows: DataFrame, *, length: int, gram: int, bucket: int) -> DataFrame
             for a, b in ((low, mid), (mid + 1, high)):
                 # strings of offsets a to b share the bytes from `a` before the anchor to LENGTH - b after it
                 reach = rest.where((F.col("hi") >= a) & (F.col("hi") - F.length("context") + length <= b))
-                trimmed = reach.select(F.expr(f"substring(context, hi - {a} + 1, {a} + {length} - {b})").alias("lead"), "context", "hi", "t", "place")
+                trimmed = reach.select(F.expr(f"substring(context, hi - {a} + 1, {a} + {length} - {b})").alias("lead"), "context", "hi", "t", "place", "again")
                 todo.append((trimmed, a, b))
     out = found[0]
     for f in found[1:]:
@@ -372,7 +359,8 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram:
     return found.join(twice, "t", "left_anti"), twice
 
 
-def digest(text: str):
+def digest(text: Column | str) -> Column:
+    """What texts are told apart by: the first 16 bytes of their SHA-256."""
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
