@@ -166,26 +166,43 @@ def build_features(joined: DataFrame, calendar: DataFrame, *, train: Column, **s
 AUDIT = "dataset string, ts timestamp, source string, destination string, sequence int, step string, cols_after int, rows_after long"
 
 
+#: Steps that neither add nor drop rows.
+KEEPING = {"prior_flag", "holidays", "place_mean", "encoded", "scaled"}
+
+
+def settled_counts(frames: list[tuple[str, DataFrame]], observed: list[int]) -> list[int]:
+    """Rows of each step: those observed, if every step that keeps rows has as many as the one before it; else all are counted anew.
+
+    Observed counts of a stage whose output was lost with an executor and made again may be too high; what comes after its
+    shuffle is counted in another stage, so the two differ.
+    """
+    fits = all(n == before for (name, _), before, n in zip(frames[1:], observed, observed[1:], strict=False) if name in KEEPING)
+    return observed if fits else [df.count() for _, df in frames]
+
+
 def save_features(joined: DataFrame, calendar: DataFrame, spec: FeatureSpec, learned: Learned, *, dataset: str, source: str, destination: str, log: str, by: list[str] | None = None) -> DataFrame:
     """Write the features of `joined` to `destination`, add what every step left over to the log, and read the features.
 
     Rows are counted by metrics that Spark observes while the features are written, so the whole of it is one pass
-    over `joined`. The log gets the step `saved` last, whose rows are those of the written files.
+    over `joined` (they are checked, see `settled_counts`). The log gets the step `saved` last, whose rows are those of the written files.
     """
     spark = joined.sparkSession
-    seen: list[tuple[str, int, Observation]] = []
+    seen: list[Observation] = []
+    frames: list[tuple[str, DataFrame]] = []
 
     def watched(name: str, df: DataFrame) -> DataFrame:
-        seen.append((name, len(df.columns), Observation(f"{name} {uuid.uuid4().hex}")))
-        return df.observe(seen[-1][2], F.count(F.lit(1)).alias("rows"))
+        seen.append(Observation(f"{name} {uuid.uuid4().hex}"))
+        frames.append((name, df))
+        return df.observe(seen[-1], F.count(F.lit(1)).alias("rows"))
 
     with sinks.in_new_session(joined=joined, calendar=calendar, means=learned.means) as there:
         df = watched("joined", there["joined"])
         for name, step in feature_steps(spec, there["calendar"], replace(learned, means=there["means"])):
             df = watched(name, step(df))
         sinks.write_partitioned(df, destination, by) if by else sinks.write_parquet(df, destination)
+        counts = settled_counts(frames, [x.get["rows"] for x in seen])
     saved = spark.read.parquet(destination)
-    told = [(name, width, x.get["rows"]) for name, width, x in seen] + [("saved", len(saved.columns), saved.count())]
+    told = [(name, len(df.columns), n) for (name, df), n in zip(frames, counts, strict=True)] + [("saved", len(saved.columns), saved.count())]
     now = datetime.now(UTC).replace(tzinfo=None)
     rows = [(dataset, now, source, destination, i, name, width, n) for i, (name, width, n) in enumerate(told, 1)]
     sinks.append_log(spark.createDataFrame(rows, AUDIT), log)

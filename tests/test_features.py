@@ -57,6 +57,13 @@ def test_audit_is_one_pass_and_right(spark, tmp_path):
         assert {(r["source"], r["destination"]) for r in got} == {("in", str(tmp_path / f"out{k}"))} and got[-1]["step"] == "saved"
 
 
+def test_counts_that_do_not_fit_are_counted_anew(spark):
+    a, b = spark.range(10), spark.range(8)
+    frames = [("joined", a), ("not_cancelled", b), ("prior_flag", b), ("complete", b.limit(5)), ("scaled", b.limit(5))]
+    assert pipelines.settled_counts(frames, [10, 8, 8, 5, 5]) == [10, 8, 8, 5, 5]
+    assert pipelines.settled_counts(frames, [14, 11, 8, 5, 5]) == [10, 8, 8, 5, 5]
+
+
 def test_models_still_run_after_an_audit(spark, tmp_path):
     test_audit_is_one_pass_and_right(spark, tmp_path)
     rows = VectorAssembler(inputCols=["i"], outputCol="features").transform(flights(spark).withColumn("label", F.col("y").cast("double")))
