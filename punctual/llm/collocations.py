@@ -150,7 +150,8 @@ def counts(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, DataFrame
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
 
     def total(counted: DataFrame) -> DataFrame:
-        return counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+        # chunks are summed up where they are read; another table of sums in each of those tasks would hardly find two alike
+        return counted.repartition("lang", "phrase", "size").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
     def table_of(frequent: DataFrame):
         return bit_table(frequent.select("lang", "phrase").mapInArrow(_hashed, "h long"), "h", frequent.count())
