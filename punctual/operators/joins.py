@@ -86,26 +86,40 @@ def quadtree(points: DataFrame, *, most: int, levels: int = LEVELS) -> DataFrame
     return marked.select("level", "row", "col", "n", (small & (F.col("_split") | (F.col("level") == 0))).alias("leaf"))
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """_lat, _lon of every different place, null coordinates left out."""
+    return points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null").distinct()
+
+
+def _first_of_places(points: DataFrame, key: str, k: int) -> DataFrame:
+    """_b, lat, lon: of each place the rows with the `k` least keys. They are equally far from anywhere and ties go by key, so no other is among the k nearest."""
+    known = points.select(F.col(key).alias("_b"), "lat", "lon").where("lat is not null and lon is not null")
+    w = Window.partitionBy("lat", "lon").orderBy("_b")
+    return known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
 def knn_adaptive(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, k: int = 5, miles: float = 20.0, radius: float = EARTH_MILES, most: int = 256, levels: int = LEVELS) -> DataFrame:
     """left_key, right_key, miles, rank: the same as `knn_within`, on cells that are the smaller the denser places lie.
 
-    The places of `right` lie in the leaves of a quadtree, so one dense city isn't one cell. A row of `left` looks no further than
-    the size of the smallest cell around it that holds k places, and meets the leaves that this circle touches. Ties by key; null coordinates find nothing.
-    Work grows with the k neighbours of a row, not with how many places lie within `miles`.
+    The places of `right` lie in the leaves of a quadtree, so one dense city isn't one cell. A place of `left` looks no further than
+    the size of the smallest cell around it that holds k rows, and meets the leaves that this circle touches. Ties by key; null coordinates find nothing.
+    Different places are searched for once, however many rows lie there, and of a place of `right` k rows are enough.
+    Work grows with the k neighbours of a place, not with how many places lie within `miles`.
     """
+    right = checkpointed(_first_of_places(right, right_key, k))
     tree = checkpointed(quadtree(right, most=most, levels=levels))
     degree = radius * 3.141592653589793 / 180  # miles of a degree of latitude
     side = lambda level: F.lit(180.0) / F.pow(F.lit(2.0), level)  # noqa: E731  height of a cell in degrees; it is twice as wide
     every = F.sequence(F.lit(0), F.lit(levels))
 
     # how far each row has to look
-    a = left.select(F.col(left_key).alias("_a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null").distinct()
+    a = _places(left)
     around = a.withColumn("level", F.explode(every))
     row, col = _cell(F.col("level"), F.col("_lat"), F.col("_lon"))
     enough = tree.where(F.col("n") >= k).select("level", F.col("row").alias("_row"), F.col("col").alias("_col"))
-    fit = around.withColumns({"_row": row, "_col": col}).join(enough, ["level", "_row", "_col"], "left_semi").groupBy("_a", "_lat", "_lon").agg(F.max("level").alias("_fit"))
+    fit = around.withColumns({"_row": row, "_col": col}).join(enough, ["level", "_row", "_col"], "left_semi").groupBy("_lat", "_lon").agg(F.max("level").alias("_fit"))
     reach = F.least(F.lit(float(miles)), F.coalesce(3 * side(F.col("_fit")) * degree, F.lit(float(miles)))) * 1.000001 + 0.0002
-    b = a.join(fit, ["_a", "_lat", "_lon"], "left").withColumn("_reach", reach).drop("_fit")
+    b = a.join(fit, ["_lat", "_lon"], "left").withColumn("_reach", reach).drop("_fit")
 
     # the cells of one level that its circle touches: a level whose cells are no smaller than the circle
     up = F.col("_reach") / degree
@@ -124,14 +138,14 @@ def knn_adaptive(left: DataFrame, right: DataFrame, *, left_key: str, right_key:
     inside = inside.withColumns({"_row": half("_lr", F.col("_leaf") - F.col("level")), "_col": half("_lc", F.col("_leaf") - F.col("level"))})
     larger = at.withColumn("_leaf", F.explode(F.when(F.col("level") > 0, F.sequence(F.lit(0), F.col("level") - 1)).otherwise(F.array().cast("array<int>"))))
     larger = larger.withColumns({"_lr": half("_row", F.col("level") - F.col("_leaf")), "_lc": half("_col", F.col("level") - F.col("_leaf"))})
-    keep = ["_a", "_lat", "_lon", "_reach", "_leaf", "_lr", "_lc"]
+    keep = ["_lat", "_lon", "_reach", "_leaf", "_lr", "_lc"]
     touched = at.join(inside, ["level", "_row", "_col"]).select(*keep).unionByName(larger.join(leaves, ["_leaf", "_lr", "_lc"]).select(*keep)).distinct()
     # of leaves that lie in those cells only what the circle's box touches
     top, bottom = (F.col("_lr") + 1) * side(F.col("_leaf")) - 90, F.col("_lr") * side(F.col("_leaf")) - 90
     touched = touched.where((F.col("_lat") + up >= bottom) & (F.col("_lat") - up <= top))
 
     # the places of those leaves
-    c = right.select(F.col(right_key).alias("_b"), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2")).where("_lat2 is not null and _lon2 is not null")
+    c = right.select("_b", F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"))
     r2, c2 = _cell(levels, F.col("_lat2"), F.col("_lon2"))
     smallest = c.withColumns({"_r": r2, "_c": c2})
     homes = smallest.select("_r", "_c").distinct().withColumn("_leaf", F.explode(every))
@@ -139,9 +153,11 @@ def knn_adaptive(left: DataFrame, right: DataFrame, *, left_key: str, right_key:
     placed = smallest.join(homes, ["_r", "_c"]).drop("_r", "_c")
     met = touched.join(placed, ["_leaf", "_lr", "_lc"]).withColumn("miles", haversine(F.col("_lat"), F.col("_lon"), F.col("_lat2"), F.col("_lon2"), radius))
     near = met.where((F.col("miles") <= miles) & (F.col("miles") <= F.col("_reach")))
-    w = Window.partitionBy("_a").orderBy("miles", "_b")
+    w = Window.partitionBy("_lat", "_lon").orderBy("miles", "_b")
     ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), F.round("miles", 4).alias("miles"), "rank")
+    found = ranked.select("_lat", "_lon", F.col("_b").alias(right_key), F.round("miles", 4).alias("miles"), "rank")
+    own = left.select(left_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
+    return own.join(found, ["_lat", "_lon"]).select(left_key, right_key, "miles", "rank")
 
 
 def knn_within(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, k: int = 5, miles: float = 20.0, radius: float = EARTH_MILES) -> DataFrame:
@@ -149,6 +165,7 @@ def knn_within(left: DataFrame, right: DataFrame, *, left_key: str, right_key: s
 
     Both sides are dealt to latitude bands as high as `miles`, so a row meets only three bands; within
     a band, to cells of longitude as wide as `miles` at the band's end nearer to a pole. Ties by key.
+    Different places are searched for once, however many rows lie there, and of a place of `right` k rows are enough.
     """
     height = F.lit(miles / (radius * 3.141592653589793 / 180))
 
@@ -160,16 +177,18 @@ def knn_within(left: DataFrame, right: DataFrame, *, left_key: str, right_key: s
     def cell(lon: Column, band: Column) -> Column:
         return F.pmod(F.floor((lon + 180) / 360 * cells(band)).cast("long"), cells(band))
 
-    a = left.select(F.col(left_key), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
-    b = right.select(F.col(right_key), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2")).where("_lat2 is not null and _lon2 is not null")
+    a = _places(left)
+    b = _first_of_places(right, right_key, k).select(F.col("_b").alias(right_key), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"))
     b = b.withColumn("_band", F.floor(F.col("_lat2") / height).cast("long")).withColumn("_cell", cell(F.col("_lon2"), F.col("_band")))
     a = a.withColumn("_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("_lat") / height).cast("long") + d)))
     near = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell(F.col("_lon"), F.col("_band")) + d, cells(F.col("_band")))))
     a = a.withColumn("_cell", F.explode(near))
     met = a.join(b, ["_band", "_cell"]).withColumn("miles", haversine(F.col("_lat"), F.col("_lon"), F.col("_lat2"), F.col("_lon2"), radius))
-    w = Window.partitionBy(left_key).orderBy("miles", right_key)
+    w = Window.partitionBy("_lat", "_lon").orderBy("miles", right_key)
     ranked = met.where(F.col("miles") <= miles).withColumn("miles", F.round("miles", 4)).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select(left_key, right_key, "miles", "rank")
+    found = ranked.where(F.col("rank") <= k).select("_lat", "_lon", right_key, "miles", "rank")
+    own = left.select(left_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return own.join(found, ["_lat", "_lon"]).select(left_key, right_key, "miles", "rank")
 
 
 def grid_join(left: DataFrame, right: DataFrame, digits: int = 1) -> DataFrame:

@@ -165,3 +165,23 @@ def test_stream_is_batch(spark, tmp_path):
 
     want = aggregates.hourly_rollup(df.withColumn("hour", ceil_hour(F.col("ts"))), "k", "hour", ["v"], ["v"])
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, want.select("k", "hour", "avg_v", "v").collect()))
+
+
+@pytest.mark.parametrize("how", ["knn_within", "knn_adaptive"])
+def test_crowded_places_are_searched_for_once(spark, monkeypatch, how):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(*_):
+        @F.udf("double", useArrow=False)
+        def one(lat, lon, lat2, lon2):
+            met.add(1)
+            return abs(lat - lat2) + abs(lon - lon2)
+
+        return one(*_[:4])
+
+    monkeypatch.setattr(joins, "haversine", counted)
+    a = spark.range(60).select(F.col("id").alias("a"), F.lit(40.0).alias("lat"), F.lit(-100.0).alias("lon"))
+    b = spark.range(60).select(F.col("id").alias("b"), F.lit(40.0).alias("lat"), F.lit(-100.0).alias("lon"))
+    got = getattr(joins, how)(a, b, left_key="a", right_key="b", k=3, miles=5.0).collect()
+    assert sorted((r["a"], r["b"], r["rank"]) for r in got) == [(i, k, k + 1) for i in range(60) for k in range(3)]
+    assert met.value <= 100  # not 3600 pairs
