@@ -630,3 +630,14 @@ def test_chain_is_brute_force(spark, documents, labels):
     want = sorted((str(r["doc_id"]), *by_hand(r["text"])) for r in docs.collect())
     assert [g[0] for g in got] == [w[0] for w in want]
     assert np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-6)
+
+
+def test_stage_learns_from_every_labelled_text(spark, monkeypatch):
+    rows = [(i, f"word{i} " + "some plain english text about nothing much " * 3, "en") for i in range(1200)]
+    rows += [(5000 + i, f"mot{i} " + "un texte simple qui ne parle de presque rien " * 3, "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept, real = [], ppm_langid.predict
+    monkeypatch.setattr(ppm_langid, "predict", lambda df, trees, **more: kept.append(trees) or real(df, trees, **more))
+    assert ppm_langid.keep_known(docs).count() == len(rows)
+    learned = docs.where(~ppm_langid.held_out()).select(F.sum(F.octet_length("text"))).first()[0]
+    assert int(kept[-1].n.sum()) == learned  # a run of four bytes for each byte
