@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import ship, written
+from punctual.llm.common import files_for, ship, twice_the_cores, written
 
 SHINGLE = 4
 SEED = 42
@@ -34,6 +34,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 512
 #: Keys with more rows are dealt to several tasks as pairs of parts of half as many rows.
 LARGE = 16_384
+#: Rows of small tables that share a file, rows with their texts that do, and posted rows that share a task.
+LINKS_PER_FILE, ROWS_PER_FILE, POSTED_PER_TASK = 250_000, 10_000, 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -291,7 +293,8 @@ def links(nodes: DataFrame, *, distance: int = DISTANCE, large: int = LARGE) ->
     ship(nodes.sparkSession)
     posted = nodes.mapInArrow(_post, "k long, fp long, node long")
     dealt = posted.repartition("k").sortWithinPartitions("k")
-    found = written(dealt.mapInArrow(lambda batches: _links(batches, distance, large), LINKED), "key-links")
+    tasks = files_for(183 * nodes.count(), POSTED_PER_TASK, twice_the_cores(nodes.sparkSession))
+    found = written(dealt.mapInArrow(lambda batches: _links(batches, distance, large), LINKED), "key-links", files=tasks)
     over = found.where("k is not null")
     sizes = over.groupBy("k").agg((F.floor(F.count("*") / (large / 2)) + 1).cast("int").alias("parts"))
     parted = over.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("lo"), F.col("parts")).cast("int"))
@@ -302,8 +305,8 @@ def links(nodes: DataFrame, *, distance: int = DISTANCE, large: int = LARGE) ->
     return found.where("k is null").select("lo", "hi").unionAll(rest.select("lo", "hi")).distinct()
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """(node, component: the least node it reaches) for every node of the links (lo, hi).
+def components(edges: DataFrame, *, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
+    """(node, component: the least node it reaches) for every node of the links (lo, hi), of which there are about `rows`.
 
     Alternates large-star and small-star rounds; each round is one table in the shared folder, so
     that no lineage grows. A hub with many neighbours is only ever grouped for its minimum.
@@ -323,10 +326,10 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         return tuple(r)
 
-    now = written(edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).where("lo != hi").distinct(), "links")
+    now = written(edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).where("lo != hi").distinct(), "links", files=None if rows is None else files_for(rows, LINKS_PER_FILE))
     before = mark(now)
     for _ in range(most_rounds):
-        now = written(small(large(now)), "stars")
+        now = written(small(large(now)), "stars", files=files_for(before[0], LINKS_PER_FILE))  # about as many links as before
         after = mark(now)
         if after == before:
             break
@@ -338,8 +341,9 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 def groups(fps: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """(fp, component: the least fp it reaches) for every different fp. Fingerprints are the nodes, so ids play no part."""
-    nodes = written(fps.select("fp").distinct().withColumn("node", F.col("fp")), "nodes")
-    found = components(links(nodes, distance=distance))
+    least = twice_the_cores(fps.sparkSession)
+    nodes = written(fps.select("fp").distinct().withColumn("node", F.col("fp")), "nodes", files=files_for(fps.count(), LINKS_PER_FILE, least))
+    found = components(links(nodes, distance=distance), rows=nodes.count())
     return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
@@ -370,4 +374,5 @@ def keep_first(docs: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")
     least = hashed.groupBy("fp").agg(F.min(rank).alias("least"))
     first = groups(hashed, distance=distance).join(least, "fp").groupBy("component").agg(F.min("least").alias("least"))
-    return hashed.join(first.select(F.col("least._id").alias("_id")), "_id", "left_semi").select("_row.*")
+    kept = hashed.join(first.select(F.col("least._id").alias("_id")), "_id", "left_semi").select("_row.*")
+    return kept.coalesce(files_for(hashed.count(), ROWS_PER_FILE, twice_the_cores(docs.sparkSession)))

@@ -1,3 +1,4 @@
+import glob
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import pytest
 from cases import EXTRA, ROWS, empty, frame
 from pyspark.sql import functions as F
 
-from punctual.llm import bin_completion, golay_simhash, importance_resampling, js_quality, ppm_langid, sentencepiece_lattice, toxicity_chain
+from punctual.llm import bin_completion, common, golay_simhash, importance_resampling, js_quality, ppm_langid, sentencepiece_lattice, toxicity_chain
 
 MODEL = bin_completion.tokenizer_path("piece_bpe_32k.model")
 
@@ -641,3 +642,23 @@ def test_stage_learns_from_every_labelled_text(spark, monkeypatch):
     assert ppm_langid.keep_known(docs).count() == len(rows)
     learned = docs.where(~ppm_langid.held_out()).select(F.sum(F.octet_length("text"))).first()[0]
     assert int(kept[-1].n.sum()) == learned  # a run of four bytes for each byte
+
+
+def test_small_tables_are_few_files_whatever_the_partitions(spark, documents):
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    listed = lambda: set(glob.glob(f"{common.shared_folder(spark).removeprefix('file:')}/*/part-*"))
+    old = listed()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = golay_simhash.keep_first(documents.limit(300))
+        assert kept.rdd.getNumPartitions() <= common.twice_the_cores(spark)
+        assert kept.count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = Counter(f.split("/")[-2].rsplit("-", 1)[0] for f in listed() - old)
+    rounds = {f.split("/")[-2] for f in listed() - old if "/stars-" in f or "/links-" in f}
+    assert files["nodes"] <= common.twice_the_cores(spark) and files["key-links"] <= common.twice_the_cores(spark)
+    assert rounds and files["stars"] + files["links"] == len(rounds)
