@@ -105,7 +105,7 @@ class TemporalCrossValidator(Estimator, HasParallelism, HasCollectSubModels, MLR
             raise ValueError("no folds")
         totals, kept = [0.0] * len(self.grid), []
         for train, test in sides:
-            with cached(train) as train, cached(test) as test, ThreadPoolExecutor(self.getParallelism()) as pool:
+            with cached(dealt(train)) as train, cached(dealt(test)) as test, ThreadPoolExecutor(self.getParallelism()) as pool:
 
                 def score(setting, train=train, test=test):
                     model = self.estimator.fit(train, setting)
@@ -116,7 +116,7 @@ class TemporalCrossValidator(Estimator, HasParallelism, HasCollectSubModels, MLR
             kept.append([m for _, m in got])
         best = (max if self.evaluator.isLargerBetter() else min)(range(len(self.grid)), key=totals.__getitem__)
         rows = self._all_training(dataset) if self.getOrDefault(self.refit) == "all" else sides[-1][0]
-        return TemporalCrossValidatorModel(self.estimator.fit(rows, self.grid[best]), totals, best, kept if keep else None)
+        return TemporalCrossValidatorModel(self.estimator.fit(dealt(rows), self.grid[best]), totals, best, kept if keep else None)
 
     def write(self) -> MLWriter:
         return _Writer(self)
@@ -209,26 +209,47 @@ def lr_grid(lr: LogisticRegression, reg: list[float] = (0.0, 0.01, 0.1, 0.5), el
     return ParamGridBuilder().addGrid(lr.regParam, list(reg)).addGrid(lr.elasticNetParam, list(elastic)).addGrid(lr.maxIter, list(iters)).build()
 
 
+#: Rows that one task learns from, and rows up to which a frame is learned from as it comes.
+ROWS_PER_TASK, FEW_ROWS = 1_000_000, 4_000_000
+
+
+def dealt(train: DataFrame, estimator: Estimator | None = None, *, rows_per_task: int = ROWS_PER_TASK, few: int = FEW_ROWS) -> DataFrame:
+    """`train` in as many partitions as its rows need; only the columns that `estimator` learns from, if one is given.
+
+    A learner keeps the rows in as many tasks as the frame comes in, and goes over them again and again: a task would hold ever more of a growing
+    table. Frames of up to `few` rows stay as they are.
+    """
+    rows = train.count()
+    if rows <= few:
+        return train
+    used = ("featuresCol", "labelCol", "weightCol", "validationIndicatorCol")
+    cols = [estimator.getOrDefault(p) for p in estimator.params if p.name in used and estimator.isDefined(p)] if estimator else train.columns
+    return train.select(*cols).repartition(-(-rows // rows_per_task))
+
+
 def train_lr(train: DataFrame, *, weight: str | None = None, **params):
-    return LogisticRegression(**params, **({"weightCol": weight} if weight else {})).fit(train)
+    return LogisticRegression(**params, **({"weightCol": weight} if weight else {})).fit(dealt(train))
 
 
 def train_rf(train: DataFrame, *, trees: int = 30, depth: int = 20, seed: int = 1, **params):
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **params).fit(train)
+    learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **params)
+    return learner.fit(dealt(train, learner))
 
 
 def train_gbt(train: DataFrame, *, seed: int = 1, **params):
-    return GBTClassifier(seed=seed, **params).fit(train)
+    learner = GBTClassifier(seed=seed, **params)
+    return learner.fit(dealt(train, learner))
 
 
 def train_dt(train: DataFrame, *, depth: int = 5, seed: int = 1, **params):
-    return DecisionTreeClassifier(maxDepth=depth, seed=seed, **params).fit(train)
+    learner = DecisionTreeClassifier(maxDepth=depth, seed=seed, **params)
+    return learner.fit(dealt(train, learner))
 
 
 def depth_sweep(train: DataFrame, test: DataFrame, evaluator: Evaluator, depths: list[int]) -> DataFrame:
     """depth, score of trees."""
-    with cached(train) as train, cached(test) as test:
-        rows = [(d, float(evaluator.evaluate(train_dt(train, depth=d).transform(test)))) for d in depths]
+    with cached(dealt(train)) as train, cached(dealt(test)) as test:
+        rows = [(d, float(evaluator.evaluate(DecisionTreeClassifier(maxDepth=d, seed=1).fit(train).transform(test)))) for d in depths]
     return train.sparkSession.createDataFrame(rows, "depth int, score double")
 
 

@@ -124,3 +124,17 @@ def test_reports_bear_nulls_and_empty_tables(spark):
     assert reports.by_period(df.withColumn("m", F.lit(1)), F.lit(2020), "m", "y").count() == 2
 
 
+
+
+def test_a_task_learns_from_a_bounded_number_of_rows(rows, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    one = rows.coalesce(1)
+    assert tuning.dealt(one).rdd.getNumPartitions() == 1  # few rows stay as they come
+    learner = GBTClassifier(maxIter=2, maxDepth=2, seed=1)
+    many = tuning.dealt(one, learner, few=100, rows_per_task=100)
+    assert many.rdd.getNumPartitions() == 8 and many.columns == ["features", "label"] and many.count() == 800
+    learned_from = []
+    monkeypatch.setattr(tuning, "dealt", lambda train, *a: learned_from.append(train) or many)
+    tuning.train_gbt(one, maxIter=2, maxDepth=2)
+    assert learned_from == [one]
