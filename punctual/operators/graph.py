@@ -183,23 +183,26 @@ def sssp(edges: DataFrame, source, *, weighted: bool = False, most_rounds: int =
     raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
-def delta_stepping(edges: DataFrame, source, *, delta: float | None = None, most_rounds: int = 10_000, watch=None) -> DataFrame:
+def delta_stepping(edges: DataFrame, source, *, delta: float | None = None, most_rounds: int = 10_000, tasks: int | None = None, watch=None) -> DataFrame:
     """id, distance by weight of all nodes that can be reached from `source`; weights are 0 or more.
 
     Distances are settled bucket by bucket, each `delta` wide: within a bucket light edges (up to `delta`) are followed until
     nothing in it gets nearer; then its heavy edges are followed once, as they can't lead back into it. So an edge
     of a node that still gets nearer isn't followed for every improvement, unlike in `sssp`. The default `delta` is the mean
-    weight. `watch` is called with each round's kind and bucket.
+    weight. Edges are summed up in `tasks` tasks, or as many as Spark thinks fit. `watch` is called with each round's kind and bucket.
     """
-    steps = checkpointed(edges.where("dst is not null").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")))
+    there = edges.where("dst is not null").select("src", "dst", F.col("weight").cast("double").alias("w"))
+    steps = checkpointed((there.repartition(tasks, "src", "dst") if tasks else there).groupBy("src", "dst").agg(F.min("w").alias("w")))
     facts = steps.agg(F.min("w").alias("least"), F.avg("w").alias("mean")).first()
     if facts["least"] is not None and facts["least"] < 0:
         raise ValueError("a weight is below 0")
     wide = delta or facts["mean"] or 1.0
     light, heavy = steps.where(F.col("w") <= wide), steps.where(F.col("w") > wide)
     bucket = lambda c: F.floor(F.col(c) / F.lit(wide))
+    # the start, if it is a node: only its own edges are looked at for that
+    begin = nodes(edges.where((F.col("src") == source) | (F.col("dst") == source))).where(F.col("id") == source)
     # _todo: got nearer and light edges not followed since; _heavy: heavy edges not followed since
-    found = checkpointed(nodes(edges).where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("_todo"), F.lit(True).alias("_heavy")))
+    found = checkpointed(begin.select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("_todo"), F.lit(True).alias("_heavy")))
 
     def relaxed(found: DataFrame, front: Column, along: DataFrame, done: str) -> DataFrame:
         came = found.where(front).join(along, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("_d"))

@@ -273,3 +273,23 @@ def test_bfs_query_goes_two_steps_as_its_sql(spark, tmp_path):
         c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
         got = [tuple(r) for r in QUERIES["r5_bfs"](spark, str(folder)).collect()]
         assert len(got) == there and got == c.sql(SQL["r5_bfs"]).fetchall()
+
+
+def test_edges_are_summed_up_in_as_many_tasks_as_their_number_needs(spark, monkeypatch):
+    from punctual.plans import queries
+    from punctual.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert queries._edge_tasks(t) is None
+    want = sorted(queries._edges(t).collect())
+    few = sorted(graph.delta_stepping(queries._edges(t), 0).collect())
+    monkeypatch.setattr(queries, "FEW_LINES", 100)
+    monkeypatch.setattr(queries, "LINES_PER_TASK", 500)
+    tasks = queries._edge_tasks(t)
+    assert tasks == -(-t.lineitem.count() // 500)
+    edges = queries._edges(t)
+    assert edges.rdd.getNumPartitions() >= tasks and sorted(edges.collect()) == want
+    assert sorted(graph.delta_stepping(edges, 0, tasks=tasks).collect()) == few and few
+    lonely = spark.createDataFrame([(1, 2, 1.0), (7, None, None)], "src long, dst long, weight double")
+    assert [tuple(r) for r in graph.delta_stepping(lonely, 7, tasks=3).collect()] == [(7, 0.0)]
+    assert graph.delta_stepping(lonely, 9).count() == 0
