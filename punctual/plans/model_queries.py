@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions import parse, timeops
 from punctual.operators import aggregates as agg
-from punctual.operators import features, folds, metrics, relational, sampling, tuning
+from punctual.operators import features, folds, metrics, recommend, relational, sampling, tuning
 from punctual.plans import pipelines
 from punctual.plans.queries import KEYS, READINGS, SKY, ZONES, returns
 from punctual.plans.registry import Tables, query
@@ -56,8 +56,7 @@ def l8_als_top_items(t: Tables) -> DataFrame:
     """The three parts each customer segment's buyers would rate highest by quantity, for suppliers as users."""
     rows = t.lineitem.groupBy(F.col("l_suppkey").cast("int").alias("u"), F.col("l_partkey").cast("int").alias("i")).agg(F.avg("l_quantity").cast("float").alias("r"))
     model = tuning.als(rows, user="u", item="i", rating="r", rank=5, iters=5)
-    top = model.recommendForAllUsers(3)
-    return top.select("u", F.posexplode("recommendations").alias("k", "x")).select(F.col("u").cast("long").alias("s_suppkey"), (F.col("k") + 1).alias("rank"), F.col("x.i").cast("long").alias("p_partkey"))
+    return recommend.top_items(model, 3).select(F.col("user").cast("long").alias("s_suppkey"), "rank", F.col("item").cast("long").alias("p_partkey"))
 
 
 @query()

@@ -138,3 +138,31 @@ def test_a_task_learns_from_a_bounded_number_of_rows(rows, monkeypatch):
     monkeypatch.setattr(tuning, "dealt", lambda train, *a: learned_from.append(train) or many)
     tuning.train_gbt(one, maxIter=2, maxDepth=2)
     assert learned_from == [one]
+
+
+def test_largest_products_are_brute_force(spark):
+    from punctual.operators import recommend
+
+    rng = np.random.default_rng(29)
+    u, v = rng.normal(size=(700, 4)).astype(np.float32), (rng.normal(size=(3000, 4)) + 0.3).astype(np.float32)
+    u[:300] += 4  # many users of nearly one direction
+    v[5] = v[2999]  # a tie goes to the smaller id
+    v[5:9] *= 3
+    table = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, features array<float>")
+    scores = u.astype(np.float64) @ v.astype(np.float64).T
+    want = {i: np.lexsort((np.arange(len(v)), -s))[:3].tolist() for i, s in enumerate(scores)}
+    for more in ({"cells": 60, "longest": 50}, {"cells": 7, "longest": 2, "users_at_once": 40, "items_at_once": 500}):
+        got = {}
+        for r in recommend.largest_products(table(u), table(v), 3, **more).orderBy("user", "rank").collect():
+            got.setdefault(r["user"], []).append(r["item"])
+        assert got == want
+
+
+def test_both_ways_to_recommend_agree(spark):
+    from punctual.operators import recommend
+
+    rng = np.random.default_rng(31)
+    ratings = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 40, 900), rng.integers(0, 90, 900), rng.uniform(1, 50, 900), strict=True)], "u int, i int, r float")
+    model = tuning.als(ratings, user="u", item="i", rating="r", rank=3, iters=3)
+    all_pairs, pruned = (sorted(map(tuple, recommend.top_items(model, 3, **more).collect())) for more in ({}, {"few": 0}))
+    assert all_pairs == pruned and len(pruned) == 3 * model.userFactors.count()
