@@ -35,7 +35,7 @@ BLOCK = 512
 #: Keys with more rows are dealt to several tasks as pairs of parts of half as many rows.
 LARGE = 16_384
 #: Rows of small tables that share a file, rows with their texts that do, and posted rows that share a task.
-LINKS_PER_FILE, ROWS_PER_FILE, POSTED_PER_TASK = 250_000, 10_000, 1_000_000
+LINKS_PER_FILE, ROWS_PER_FILE, POSTED_PER_TASK = 250_000, 10_000, 500_000
 
 
 def fingerprint(text: str | None) -> int:
