@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import files_for, ship, twice_the_cores, written
+from punctual.llm.common import file_count, files_for, ship, twice_the_cores, written
 
 SHINGLE = 4
 SEED = 42
@@ -370,7 +370,7 @@ def keep_first(docs: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     without a doc_id are compared like others and come last.
     """
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("_hash"), F.monotonically_increasing_id().alias("_id"))
-    hashed = written(rows.withColumn("fp", fingerprints_of("text")).drop("text"), "rows")
+    hashed = written(rows.withColumn("fp", fingerprints_of("text")).drop("text"), "rows", files=file_count(docs, ROWS_PER_FILE))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")
     least = hashed.groupBy("fp").agg(F.min(rank).alias("least"))
     first = groups(hashed, distance=distance).join(least, "fp").groupBy("component").agg(F.min("least").alias("least"))

@@ -1,10 +1,13 @@
+import glob
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from cases import EXTRA, ROWS, empty, frame
 
 from pyspark.sql import functions as F
 
-from punctual.llm import golay_simhash, js_quality, ppm_langid
+from punctual.llm import common, golay_simhash, js_quality, ppm_langid
 
 
 def test_stages_do_their_whole_work(spark, documents):
@@ -49,6 +52,18 @@ def test_every_stage_bears_empty_tables_and_clashing_columns(spark, k):
         assert {r["doc_id"] for r in out.select("doc_id").collect()} >= {r[0] for r in ROWS if r[1] and r[1].strip()}
 
 
+def test_stages_write_few_files_however_many_parts_the_rows_come_in(spark, documents):
+    """A file costs a process on a local file system: tables between and within stages have no more parts than twice the cores (or 10,000 rows each)."""
+    listed = lambda: set(glob.glob(f"{common.shared_folder(spark).removeprefix('file:')}/*/part-*"))
+    docs, most = documents.repartition(5 * common.twice_the_cores(spark)), common.twice_the_cores(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        old = listed()
+        out = stage(spark, docs, "")
+        assert out.rdd.getNumPartitions() <= most
+        files = Counter(f.split("/")[-2] for f in listed() - old)
+        assert files and max(files.values()) <= most
+
+
 def test_stages_decide_by_the_row(spark):
     """Copies: near-dedup leaves one of them; other stages treat them alike. Null and empty texts don't pass the language stage."""
     text = "the house of the river and the old road to the town is near the wood, where we went with a friend in the spring"
