@@ -64,6 +64,24 @@ def test_long_runs_are_the_librarys(spark):
     assert all(r["round_trip"] for r in sentencepiece_lattice.summarise(df, MODEL).collect())
 
 
+def test_rarer_units_are_encoded_where_they_meet_and_kept_nowhere(spark, documents):
+    """Whatever is broadcast, the sums are those of the library's pieces; no table of all units is written."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp, most = SentencePieceProcessor(model_file=MODEL), 300
+    long = [(1, " " * 300 + "b" * 300 + " is"), (2, "the"), (2, "the"), (3, "-" * 70 + " of the")]
+    df = spark.createDataFrame(long, "doc_id long, text string").unionByName(documents.select("doc_id", "text").where("doc_id between 1000 and 1100"))
+    listed = lambda: set(glob.glob(f"{common.shared_folder(spark).removeprefix('file:')}/*"))
+    old = listed()
+    out = sentencepiece_lattice.summarise(df, MODEL, most_broadcast=most).collect()
+    sizes = {f.split("/")[-1].rsplit("-", 1)[0]: spark.read.parquet(f).count() for f in listed() - old if "/sums-" not in f}
+    assert sizes and max(sizes.values()) <= most, sizes
+    assert all(r["round_trip"] for r in out)
+    assert sorted((r["doc_id"], r["n_pieces"]) for r in out) == sorted((r["doc_id"], len(sp.encode(r["text"]))) for r in df.collect())
+    every = sentencepiece_lattice.summarise(df, MODEL).collect()
+    assert sorted(map(str, out)) == sorted(map(str, every))
+
+
 def test_long_runs_have_the_largest_sum():
     from punctual.llm.sentencepiece_lattice import Model, Piece, Run
 
