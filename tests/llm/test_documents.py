@@ -82,6 +82,25 @@ def test_rarer_units_are_encoded_where_they_meet_and_kept_nowhere(spark, documen
     assert sorted(map(str, out)) == sorted(map(str, every))
 
 
+def test_many_units_are_folded_at_once(spark, documents, monkeypatch):
+    """Units of any kind side by side, cut into several lots, have the ids that each has by itself; what is carried rides on one edge of a unit."""
+    from punctual.llm.sentencepiece_lattice import OTHER, Run, edges, facts_of, folded, load, piece_table, units_of, _packed
+
+    model = load(MODEL)
+    odd = [("😀",), (" 日本語",), ("  ½²",), ("é日" * 40,), ("ab" * 150,), ("-" * 100,), (" " * 9,), ("\n",), ("x",)]
+    units = spark.createDataFrame(odd, "unit string").union(documents.where("doc_id < 40").select(F.explode(units_of(F.col("text"))))).distinct().limit(1500)
+    found = edges(units.select(F.col("unit").alias("key"), "unit", F.array(F.lit(1)).alias("at")), piece_table(spark, model), model, carried=("at",))
+    rows = found.groupBy("key").agg(F.collect_list(_packed()).alias("edges"), F.count("at").alias("carried")).toArrow()
+    assert set(rows["carried"].to_pylist()) == {1} and len(rows) == units.count()
+    monkeypatch.setattr(sentencepiece_lattice, "EDGES", 700)
+    got = folded(rows["edges"].combine_chunks(), facts_of(model)).to_pylist()
+    for key, packed, ids in zip(rows["key"].to_pylist(), rows["edges"].to_pylist(), got, strict=True):
+        run = Run(model)
+        coded = lambda v: (v,) if v < OTHER else tuple(model.first_byte + b for b in chr(v - OTHER).encode())
+        run.extend([(x >> 42, x >> 32 & 1023, coded(x & 0xFFFFFFFF)) for x in packed], len(key))
+        assert ids == run.ids(), key
+
+
 def test_long_runs_have_the_largest_sum():
     from punctual.llm.sentencepiece_lattice import Model, Piece, Run
 
